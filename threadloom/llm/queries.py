@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.bpe import token_counts, token_ids
+from threadloom.llm.grid import groups
 from threadloom.llm.knn import nearest, similar_pairs
+from threadloom.llm.packing import pack
+from threadloom.llm.spans import shared_amounts, shared_spans
+from threadloom.llm.split import split_texts
 from threadloom.llm.vectors import usable_vectors
+from threadloom.operators.latest import latest
 from threadloom.session import Scratch, tune
 from threadloom.sources.tables import table
 
@@ -30,5 +38,76 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return similar_pairs(edges).select(F.regexp_replace("vset", "#[0-9]+$", "").alias("vector_set"), F.col("left_id").alias("left_thread_id"), F.col("right_id").alias("right_thread_id"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """Pieces of every text above 6,000 characters, with 300 characters of overlap."""
+    tune(spark, 200)
+    threads = latest(table(spark, root, "threads").select("id", "body", "updated_at"), ["id"], "updated_at", "body")
+    documents = table(spark, root, "documents").where("doc_id is not null")
+    parts = [
+        split_texts(rows, ident, text, 6000, 300).select(F.lit(name).alias("item_table"), F.col(ident).alias("item_id"), "boundary", "piece", "start", "end", "content")
+        for name, rows, ident, text in (("threads", threads, "id", "body"), ("documents", documents, "doc_id", "raw_text"))
+    ]
+    return parts[0].unionAll(parts[1])
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """The boundary at which each text above 6,000 characters can be cut."""
+    return p3_pieces(spark, root).where("piece = 0").select("item_table", "item_id", "boundary")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """The group of every thread with a link of score 0.78 to 1."""
+    tune(spark)
+    links = table(spark, root, "similarity_edges").where("score >= 0.78 and score <= 1").select("left_thread_id", "right_thread_id")
+    return groups(links, "left_thread_id", "right_thread_id", Scratch(spark)).select(F.col("group_id").alias("group_thread_id"), F.col("member_id").alias("thread_id"))
+
+
+def p4_group_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """How many groups there are of each size."""
+    return p4_found(spark, root).groupBy("group_thread_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies; ``THREADLOOM_TOKENIZERS`` names another folder."""
+    return f"{os.environ.get('THREADLOOM_TOKENIZERS', '/opt/tokenizers')}/byte_bpe_50k.json"
+
+
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document's text."""
+    tune(spark)
+    return token_ids(table(spark, root, "documents"), "doc_id", "text", tokenizer_path())
+
+
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    """The container of 2,048 tokens of every document, or of every piece of a larger one."""
+    tune(spark)
+    sizes = Scratch(spark).save(token_counts(table(spark, root, "documents"), "doc_id", "text", tokenizer_path()), "sizes")
+    placed = pack(sizes, "doc_id", "n_tokens", 2048)
+    return placed.select("doc_id", "piece", "container_id", F.col("first_unit").alias("first_token"), F.col("n_units").alias("n_tokens"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers by the share of their room that is used, in hundredths."""
+    used = p8_containers(spark, root).where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return used.groupBy(F.floor(F.col("n") * 100 / 2048).cast("int").alias("filled_percent")).agg(F.count("*").alias("n_containers"))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Characters of each document in spans of 150 or more that another document has as well."""
+    tune(spark)
+    return shared_amounts(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text", 150, Scratch(spark)).select(F.col("doc").alias("doc_id"), "shared_chars")
+
+
+def p9_passages(spark: SparkSession, root: str) -> DataFrame:
+    """Passages that two documents share up to gaps: one row per chain of exact spans."""
+    tune(spark)
+    spans = shared_spans(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text", 150, Scratch(spark))
+    ends = [F.min("start_a").alias("left_start"), F.max(F.col("start_a") + F.col("size")).alias("left_end"), F.min("start_b").alias("right_start"), F.max(F.col("start_b") + F.col("size")).alias("right_end")]
+    return spans.groupBy(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "chain").agg(*ends, F.count("*").alias("n_spans"), F.sum("size").alias("matched_chars"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p3_found, p3_pieces, p4_found, p4_group_sizes, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
+}
 ORACLES: dict[str, str] = {}
