@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.bpe import token_counts, token_ids
 from threadloom.llm.grid import groups
 from threadloom.llm.knn import nearest, similar_pairs
+from threadloom.llm.omh import member_pairs, near_duplicates
 from threadloom.llm.packing import pack
+from threadloom.llm.pivot import clusters, isolated_clusters
 from threadloom.llm.spans import shared_amounts, shared_spans
 from threadloom.llm.split import split_texts
 from threadloom.llm.vectors import usable_vectors
@@ -67,6 +69,49 @@ def p4_group_sizes(spark: SparkSession, root: str) -> DataFrame:
     return p4_found(spark, root).groupBy("group_thread_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
 
 
+def _filed_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Title and body of the current row of every thread, and every document's text for comparison."""
+    threads = latest(table(spark, root, "threads").select("id", "title", "body", "updated_at"), ["id"], "updated_at", "title", "body")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
+    documents = table(spark, root, "documents").select(F.lit("documents").alias("name"), F.col("doc_id").alias("id"), F.col("dedupe_text").alias("text"))
+    return threads.select(F.lit("threads").alias("name"), "id", text.alias("text")).unionAll(documents)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of threads, and of documents, whose word triples agree to 0.6 or more."""
+    tune(spark)
+    pairs, members = near_duplicates(_filed_texts(spark, root), 0.6, Scratch(spark))
+    return member_pairs(pairs, members).select(F.col("name").alias("record_table"), "left_id", "right_id")
+
+
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    """One row per record that has a near duplicate: its group, and the number of different texts that it is linked to."""
+    tune(spark)
+    scratch = Scratch(spark)
+    pairs, members = near_duplicates(_filed_texts(spark, root), 0.6, scratch)
+    pairs, members = scratch.save(pairs, "pairs"), scratch.save(members, "members")
+    linked = groups(pairs, "a", "b", Scratch(spark))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_links"))
+    copies = members.groupBy("kind").agg(F.count("*").alias("n_copies"))
+    found = members.join(copies, "kind").join(links, "kind", "left").join(linked.withColumnRenamed("member_id", "kind"), "kind", "left").where("n_copies > 1 or n_links > 0")
+    named = found.withColumn("g", F.coalesce("group_id", "kind"))
+    least = named.groupBy("g").agg(F.min("id").alias("group_record_id"))
+    return named.join(least, "g").select(F.col("name").alias("record_table"), F.col("id").alias("record_id"), "group_record_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Clusters of 4 or more threads that are all alike, at a cosine of 0.80, and like no other."""
+    tune(spark, 8000)
+    found = isolated_clusters(thread_vectors(spark, root), 0.80, 4, Scratch(spark))
+    return found.select(F.col("representative_id").alias("representative_thread_id"), F.col("id").alias("thread_id"))
+
+
+def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Every cluster of two or more threads with its size and its three most typical members."""
+    tune(spark, 8000)
+    return clusters(thread_vectors(spark, root), 0.80, Scratch(spark))
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary lies; ``THREADLOOM_TOKENIZERS`` names another folder."""
     return f"{os.environ.get('THREADLOOM_TOKENIZERS', '/opt/tokenizers')}/byte_bpe_50k.json"
@@ -108,6 +153,6 @@ def p9_passages(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p3_found, p3_pieces, p4_found, p4_group_sizes, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
+    for f in (p2_found, p3_found, p3_pieces, p4_found, p4_group_sizes, p5_found, p5_groups, p6_found, p6_clusters, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
 }
 ORACLES: dict[str, str] = {}
