@@ -36,7 +36,7 @@ def all_vectors(spark: SparkSession, root: str) -> DataFrame:
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of which one is among the other's 6 most similar threads, at a cosine of 0.82 or more."""
     tune(spark, 8000)
-    edges, _ = nearest(all_vectors(spark, root), 6, 0.82, Scratch(spark))
+    edges, _ = nearest(all_vectors(spark, root), 6, 0.82, Scratch(spark), target=0.998)
     return similar_pairs(edges).select(F.regexp_replace("vset", "#[0-9]+$", "").alias("vector_set"), F.col("left_id").alias("left_thread_id"), F.col("right_id").alias("right_thread_id"))
 
 

@@ -23,7 +23,7 @@ from threadloom.operators.latest import latest
 #: Most rows of a leaf that are held against a query at once.
 BLOCK = 4096
 #: Rows of a set that the tree is fitted on, at most, and the rows that recall is calibrated with.
-SAMPLE, PROBES = 65_536, 400
+SAMPLE, PROBES = 65_536, 800
 #: The tree has at most this many leaves, so what is broadcast is bounded by it times the dimensions.
 MAX_LEAVES = 16_384
 #: Sets (kinds of vectors) of one call, at most; each has its own tree on the driver.
