@@ -11,6 +11,7 @@ from threadloom.llm.bpe import token_counts, token_ids
 from threadloom.llm.grid import groups
 from threadloom.llm.knn import nearest, similar_pairs
 from threadloom.llm.omh import member_pairs, near_duplicates
+from threadloom.llm.oracles import ORACLES  # noqa: F401
 from threadloom.llm.packing import pack
 from threadloom.llm.pivot import clusters, isolated_clusters
 from threadloom.llm.spans import shared_amounts, shared_spans
@@ -155,4 +156,3 @@ QUERIES = {
     f.__name__: f
     for f in (p2_found, p3_found, p3_pieces, p4_found, p4_group_sizes, p5_found, p5_groups, p6_found, p6_clusters, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
 }
-ORACLES: dict[str, str] = {}
