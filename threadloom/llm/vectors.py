@@ -23,7 +23,7 @@ from threadloom.operators.latest import latest
 #: Most rows of a leaf that are held against a query at once.
 BLOCK = 4096
 #: Rows of a set that the tree is fitted on, at most, and the rows that recall is calibrated with.
-SAMPLE, PROBES = 65_536, 800
+SAMPLE, PROBES = 32_768, 800
 #: The tree has at most this many leaves, so what is broadcast is bounded by it times the dimensions.
 MAX_LEAVES = 16_384
 #: Sets (kinds of vectors) of one call, at most; each has its own tree on the driver.
@@ -143,6 +143,7 @@ def build_index(vectors: DataFrame, k: int, floor: float, target: float = 0.995,
     for vset in counts:
         if vset not in trees:
             trees[vset] = fit_tree(np.zeros((1, int(vset.rpartition("#")[2])), np.float32), 1)
+    pa.default_memory_pool().release_unused()
     visits = {v: 1 for v in trees}
     recall = {v: 1.0 for v in trees}
     wide = [v for v, t in trees.items() if t.leaves > 1]
