@@ -88,16 +88,17 @@ def resize(components: DataFrame, edges: DataFrame, mode: str, most: int, step:
     linear in their members, as each has at most k neighbours.
     """
     sized = components.withColumn("n", F.count("*").over(Window.partitionBy("component")))
-    links = edges.join(sized.where(F.col("n") > most).select(F.col("id").alias("left_id"), "component"), "left_id").select("component", "left_id", "right_id", "score")
+    big = sized.where(F.col("n") > most).select(F.col("component").alias("part"), F.col("id").alias("member"))
+    links = edges.join(big, F.col("left_id") == F.col("member")).select(F.col("part").alias("of"), "left_id", "right_id", "score")
     schema = "id long, component long"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        nodes = sorted(left.column("id").to_pylist())
+        nodes = sorted(left.column("member").to_pylist())
         found = list(zip(*(right.column(c).to_pylist() for c in ("score", "left_id", "right_id"))))
         label = bounded(nodes, found, most) if mode == "bounded" else refined(nodes, found, most, step)
         return pa.table({"id": np.array(nodes, np.int64), "component": np.array([label[n] for n in nodes], np.int64)})
 
-    large = sized.where(F.col("n") > most).select("component", "id").groupBy("component").cogroup(links.groupBy("component")).applyInArrow(run, schema)
+    large = big.groupBy("part").cogroup(links.groupBy("of")).applyInArrow(run, schema)
     return sized.where(F.col("n") <= most).select("id", "component").unionByName(large)
 
 
