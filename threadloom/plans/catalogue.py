@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.config import BATCH_ITEMS, BATCH_TOKENS, SNIPPET_CHARS, Fusion
 from threadloom.functions.text import SPACE_CODES, estimated_tokens, is_bot, names_of, snippet, squash, truncated
-from threadloom.operators import clustering, edges, merge, search
+from threadloom.operators import clustering, edges, evaluate, merge, search
 from threadloom.operators.documents import canonical_documents, pending, summary_sources, vector_tasks
 from threadloom.plans import model
 from threadloom.session import Scratch, tune
@@ -482,6 +482,27 @@ def stratified_sample(spark, root):
     return clustering.stratified(clustering.sizes(_clustered(spark, root)[2]), 5, 42)
 
 
+@query("""SELECT coalesce(a.size, b.size) AS size, coalesce(a.n, 0) AS left_clusters, coalesce(b.n, 0) AS right_clusters, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT size, count(*) AS n FROM rep GROUP BY 1) a
+    FULL JOIN (SELECT least(member_count, 1000000) AS size, count(*) AS n FROM (SELECT * FROM clusters WHERE id IS NOT NULL AND member_count IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, member_count DESC NULLS LAST) = 1) GROUP BY 1) b ON a.size = b.size""", reach=True)
+def cluster_population_compare(spark, root):
+    """Cluster sizes as computed against those that the stored clusters claim."""
+    from threadloom.operators.latest import latest
+
+    stored = latest(table(spark, root, "clusters"), ["id"], "created_at", "member_count").where("member_count is not null").select(F.col("id").alias("component"), F.col("member_count").cast("long").alias("size"))
+    return evaluate.compare_sizes(clustering.sizes(_clustered(spark, root)[2]), stored)
+
+
+@query()
+def synthetic_rebuild(spark, root):
+    """Clusters of the synthetic fixture of 512 threads and three sources: how many of each size are found."""
+    scratch = Scratch(spark)
+    made = evaluate.synthetic_vectors(spark, 64, 8)
+    near = edges.nearest_neighbors(made.select(F.col("source").alias("scope"), "id", "vec"), 7, 0.82).where("left_id < right_id")
+    fused = scratch.save(edges.fuse(near.select("left_id", "right_id", F.col("scope").alias("source"), "score"), 0.82), "edges")
+    comp = clustering.connected_components(made.select("id").distinct(), fused, scratch)
+    return clustering.sizes(comp).groupBy("size").agg(F.count("*").alias("n_clusters"))
+
+
 # search
 
 _TEXTS = ["title", "body", "raw_text", "dedupe_text"]
