@@ -59,4 +59,4 @@ def snippet(text: Column, most: int = SNIPPET_CHARS) -> Column:
 def tokens_of(*texts: Column) -> Column:
     """Lower-cased words, the runs of letters and digits, of the texts together."""
     joined = F.lower(F.concat_ws(" ", *texts))
-    return F.filter(F.split(joined, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(joined, r"[^\p{L}\p{N}]+"), "")

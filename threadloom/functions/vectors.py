@@ -24,9 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector scaled to length 1; a zero vector stays."""
+    """The vector scaled to length 1; a zero vector stays. The length is taken once, not for each element."""
     size = norm(a)
-    return F.transform(a, lambda x: F.when(size == 0, x.cast("double")).otherwise(x.cast("double") / F.nullif(size, F.lit(0.0))))
+    return F.zip_with(a, F.array_repeat(F.when(size == 0, F.lit(1.0)).otherwise(size), F.size(a)), lambda x, s: x.cast("double") / s)
 
 
 def usable(json: Column, dimensions: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.config import BM25_B, BM25_K1, BM25_LEAST_IDF, SEARCH_LIMIT, SEMANTIC_FLOOR
 from threadloom.functions.text import tokens_of
 from threadloom.functions.vectors import cosine
+from threadloom.session import Scratch
 
 
 def postings(documents: DataFrame, ident: str, texts: list[str]) -> DataFrame:
@@ -22,15 +23,17 @@ def postings(documents: DataFrame, ident: str, texts: list[str]) -> DataFrame:
 def bm25(documents: DataFrame, ident: str, texts: list[str], terms: list[str]) -> DataFrame:
     """``(ident, bm25)`` of the documents that have all terms. Greater is better.
 
-    Two passes over the text and no shuffle of it: one for the statistics (a single row), one for the scores.
+    One pass over the text and no shuffle of it: its counts are written as a narrow table, from which the statistics (a
+    single row) and the scores are taken.
     """
     words = tokens_of(*(F.col(t) for t in texts))
 
     def occurrences(term: str) -> Column:
-        return F.size(F.filter("words", lambda w: w == term))
+        return F.size("words") - F.size(F.array_remove("words", term))
 
     tf = [occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = documents.select(F.col(ident), words.alias("words")).select(ident, F.size("words").alias("dl"), *tf)
+    counted = Scratch(documents.sparkSession).save(counted, "counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     both = counted.where(reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(terms))))).join(F.broadcast(stats))  # one row
     length = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))

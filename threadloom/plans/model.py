@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.config import CLUSTER_MIN_SCORE
-from threadloom.functions.vectors import unit, usable
 from threadloom.operators.edges import canonical
 from threadloom.operators.latest import latest
+from threadloom.operators.vectors import usable_rows
 from threadloom.sources.tables import table
 
 MODEL = "trellis-embed-l"
@@ -36,20 +36,22 @@ def is_closed() -> Column:
 
 def vectors(spark: SparkSession, root: str) -> DataFrame:
     """``(id, vec)``: the active vector of every thread that has a usable one."""
-    rows = table(spark, root, "thread_vectors").where(F.col("model") == MODEL).withColumn("vec", usable(F.col("vector_json"), F.col("dimensions"))).where("vec is not null")
-    return latest(rows, ["thread_id"], "updated_at", "vector_json").select(F.col("thread_id").alias("id"), "vec")
+    stored = table(spark, root, "thread_vectors").where(F.col("model") == MODEL)
+    rows = usable_rows(stored, ["thread_id", "updated_at"], "vector_json", "dimensions")
+    return latest(rows, ["thread_id"], "updated_at", "vec").select(F.col("thread_id").alias("id"), "vec")
 
 
 def source_vectors(spark: SparkSession, root: str) -> DataFrame:
     """``(source, id, vec)`` of the three kinds of source texts."""
-    rows = table(spark, root, "document_embeddings").where(F.col("model") == MODEL).withColumn("vec", usable(F.col("embedding_json"), F.col("dimensions"))).where("vec is not null")
-    return latest(rows, ["source_kind", "thread_id"], "updated_at", "embedding_json").select(F.col("source_kind").alias("source"), F.col("thread_id").alias("id"), "vec")
+    stored = table(spark, root, "document_embeddings").where(F.col("model") == MODEL)
+    rows = usable_rows(stored, ["source_kind", "thread_id", "updated_at"], "embedding_json", "dimensions")
+    return latest(rows, ["source_kind", "thread_id"], "updated_at", "vec").select(F.col("source_kind").alias("source"), F.col("thread_id").alias("id"), "vec")
 
 
 def scoped(vecs: DataFrame, ts: DataFrame, *parts: str) -> DataFrame:
     """Vectors of open threads with their scope: the repository, and the source where there are several."""
     open_ = ts.where(is_open()).select("id", F.col("repo_id").cast("string").alias("repo"))
-    return vecs.join(open_, "id").select(F.concat_ws("/", "repo", *parts).alias("scope"), "id", unit(F.col("vec")).alias("vec"))
+    return vecs.join(open_, "id").select(F.concat_ws("/", "repo", *parts).alias("scope"), "id", "vec")
 
 
 def latest_runs(spark: SparkSession, root: str) -> DataFrame:
