@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.config import BATCH_ITEMS, BATCH_TOKENS, SNIPPET_CHARS, Fusion
 from threadloom.functions.text import SPACE_CODES, estimated_tokens, is_bot, names_of, snippet, squash, truncated
+from threadloom.functions.vectors import norm, unit
 from threadloom.operators import clustering, edges, evaluate, merge, search
 from threadloom.operators.documents import canonical_documents, pending, summary_sources, vector_tasks
 from threadloom.plans import model
@@ -366,9 +367,54 @@ def stored_neighbors(spark, root):
     return rows.withColumn("place", place).where("place <= 8").select(F.col("id").alias("thread_id"), "other_id", "score", "place")
 
 
+@query("SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first FROM vec")
+def vector_normalize(spark, root):
+    """Length of every active vector, and its first coordinate at length 1."""
+    return model.vectors(spark, root).select("id", F.round(norm(F.col("vec")), 6).alias("norm"), F.round(unit(F.col("vec"))[0], 6).alias("first"))
+
+
+@query("SELECT coalesce(model, '?') AS model, coalesce(basis, '?') AS basis, count(*) AS n_rows, count(DISTINCT thread_id) AS n_threads, count(*) FILTER (WHERE ltrim(vector_json) LIKE '[%') AS n_inline FROM thread_vectors GROUP BY 1, 2")
+def vector_counts(spark, root):
+    """Stored vectors by model and basis, and how many are inline JSON arrays."""
+    rows = table(spark, root, "thread_vectors")
+    keys = [F.coalesce(c, F.lit("?")).alias(c) for c in ("model", "basis")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.countDistinct("thread_id").alias("n_threads"), F.count_if(F.ltrim("vector_json").startswith("[")).alias("n_inline"))
+
+
+@query("SELECT opn.repo_id AS repo_id, count(DISTINCT svec.id) AS n_threads, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM opn JOIN svec USING (id) GROUP BY 1")
+def clusterable_meta(spark, root):
+    """Open threads with a source vector, and the kinds of sources, by repository."""
+    rows = model.source_vectors(spark, root).select("source", "id").join(model.threads(spark, root).where(model.is_open()).select("id", "repo_id"), "id")
+    return rows.groupBy("repo_id").agg(F.countDistinct("id").alias("n_threads"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+
+
+@query("""SELECT th.id AS thread_id, number, kind, coalesce(d.n_comments, 0) AS n_comments, n.other_id AS best_neighbor, n.score AS best_score, doc.doc_id AS doc_id FROM th LEFT JOIN (SELECT thread_id, count(*) AS n_comments FROM cm GROUP BY 1) d ON d.thread_id = th.id
+    LEFT JOIN (SELECT id, other_id, score FROM bw QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) = 1) n ON n.id = th.id LEFT JOIN documents doc ON doc.thread_id = th.id""")
+def thread_detail(spark, root):
+    """Every thread with its comments, document and best stored neighbour."""
+    ts = model.threads(spark, root).select(F.col("id").alias("thread_id"), "number", "kind")
+    talk = model.comments(spark, root).groupBy("thread_id").agg(F.count("*").alias("n_comments"))
+    best = edges.both_ways(model.stored_edges(spark, root)).groupBy(F.col("id").alias("thread_id")).agg(F.max_by("other_id", F.struct("score", -F.col("other_id"))).alias("best_neighbor"), F.max("score").alias("best_score"))
+    docs = table(spark, root, "documents").select("thread_id", "doc_id")
+    rows = ts.join(talk, "thread_id", "left").join(best, "thread_id", "left").join(docs, "thread_id", "left")
+    return rows.select("thread_id", "number", "kind", F.coalesce("n_comments", F.lit(0)).alias("n_comments"), "best_neighbor", "best_score", "doc_id")
+
+
 # clusters
 
 
+@query("""SELECT c.id AS cluster_id, c.repo_id, c.member_count, t.number AS representative_number, t.title AS display_title, (c.close_reason_local IS NOT NULL OR coalesce(t.state <> 'open' OR t.closed_at_local IS NOT NULL, false)) AS is_closed
+    FROM (SELECT * FROM clusters WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, member_count DESC NULLS LAST) = 1) c LEFT JOIN th t ON t.id = c.representative_thread_id""")
+def list_clusters(spark, root):
+    """Stored clusters with their representative, largest first."""
+    from threadloom.operators.latest import latest
+
+    stored = latest(table(spark, root, "clusters"), ["id"], "created_at", "member_count").select(F.col("id").alias("cluster_id"), "repo_id", "member_count", F.col("representative_thread_id").alias("rep"), "close_reason_local")
+    ts = model.threads(spark, root).select(F.col("id").alias("rep"), F.col("number").alias("representative_number"), F.col("title").alias("display_title"), model.is_closed().alias("gone"))
+    closed = F.col("close_reason_local").isNotNull() | F.coalesce("gone", F.lit(False))
+    return stored.join(ts, "rep", "left").select("cluster_id", "repo_id", "member_count", "representative_number", "display_title", closed.alias("is_closed")).orderBy(F.col("member_count").desc_nulls_last(), "cluster_id")
+
+
 def _clustered(spark, root, latest_only: bool = True):
     ts = model.threads(spark, root)
     scratch = Scratch(spark)
