@@ -262,3 +262,18 @@ def test_chains_keep_order():
     a, b, n = np.array([0, 100, 200, 50]), np.array([500, 600, 700, 0]), np.array([40, 40, 40, 30])
     c = spans.chain(a, b, n)
     assert c[0] == c[1] == c[2] != c[3]
+
+
+def test_marks_tell_hopeless_candidates():
+    rng = np.random.default_rng(10)
+    least = omh.least_marks(0.6, omh.BANDS)
+    for shared, alike in ((150, True), (20, False)):
+        agree = []
+        for _ in range(30):
+            key = rng.integers(1, 2**62, 350 - shared).astype(np.uint64)
+            both = np.concatenate([key[:shared], key[shared : shared + (350 - 2 * shared) // 2 + shared // 2], key[:shared], key[shared + (350 - 2 * shared) // 2 + shared // 2 :]])
+            cut = len(key[:shared]) + (350 - 2 * shared) // 2 + shared // 2
+            owner = np.repeat([0, 1], [cut, len(both) - cut])
+            marks = omh.sketches(both, owner, np.arange(len(both)), 3, omh.BANDS)[2]
+            agree.append(int((marks[0] == marks[1]).sum()))
+        assert (min(agree) >= least) if alike else (max(agree) < least)

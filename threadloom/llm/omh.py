@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.arrow import binary, matrix
 from threadloom.session import Scratch
 
 #: Words of a k-mer, k-mers of a sketch tuple, tuples of a text.
@@ -70,14 +71,18 @@ def kmers(words: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, n
     return key[ok], owner[:n][ok], place[:n][ok]
 
 
-def sketches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, keep: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text numbers, band hashes [texts, bands]) of the texts with at least ``keep`` k-mers."""
+def sketches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, keep: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text numbers, band hashes, marks [texts, bands]) of the texts with at least ``keep`` k-mers.
+
+    A mark is one byte of the smallest k-mer of a band's hash function, whatever follows it: two texts agree in as many
+    marks as they share k-mers, so marks tell hopeless candidates without the texts.
+    """
     size = np.bincount(owner) if len(owner) else np.zeros(0, np.int64)
     texts = np.flatnonzero(size >= keep)
     ok = np.isin(owner, texts, assume_unique=False) if len(texts) < len(size) else slice(None)
     key, owner, place = key[ok], owner[ok], place[ok]
     if not len(texts):
-        return texts, np.zeros((0, bands), np.uint64)
+        return texts, np.zeros((0, bands), np.uint64), np.zeros((0, bands), np.uint8)
     # the occurrence number of equal k-mers of a text
     order = np.lexsort((place, key, owner))
     k, o = key[order], owner[order]
@@ -89,7 +94,7 @@ def sketches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, keep: int, b
     start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     count = np.diff(np.append(start, len(owner)))
     spot = place.astype(np.uint64) & _PLACE
-    out = np.empty((len(texts), bands), np.uint64)
+    out, marks = np.empty((len(texts), bands), np.uint64), np.empty((len(texts), bands), np.uint8)
     for f in range(bands):
         value = (mix(label * np.uint64(2 * f + 1) + np.uint64(f * 0xA24BAED4963EE407 % (1 << 64))) & ~_PLACE) | spot
         low = np.empty((len(texts), keep), np.uint64)
@@ -97,12 +102,13 @@ def sketches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, keep: int, b
             low[:, j] = np.minimum.reduceat(value, start)
             if j < keep - 1:
                 value[value == np.repeat(low[:, j], count)] = _FULL
+        marks[:, f] = low[:, 0] >> _PLACE_BITS & np.uint64(0xFF)
         ranked = np.take_along_axis(low, np.argsort(low & _PLACE, axis=1, kind="stable"), 1) >> _PLACE_BITS
         band = np.full(len(texts), f + 1, np.uint64)
         for j in range(keep):
             band = mix(band * np.uint64(0x9E3779B97F4A7C15) + ranked[:, j])
         out[:, f] = band
-    return texts, out
+    return texts, out, marks
 
 
 def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -113,7 +119,7 @@ def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sketch_rows(shingle: int, least: int, keep: int, bands: int):
-    schema = pa.schema([("name", pa.string()), ("id", pa.int64()), ("kind", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("name", pa.string()), ("id", pa.int64()), ("kind", pa.int64()), ("words", pa.binary()), ("marks", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -125,7 +131,7 @@ def _sketch_rows(shingle: int, least: int, keep: int, bands: int):
                 if shingle != K:
                     key, owner, place = kmers(words, lengths, K)
                 ok = large[owner]
-                texts, sketch = sketches(key[ok], owner[ok], place[ok], keep, bands)
+                texts, sketch, marks = sketches(key[ok], owner[ok], place[ok], keep, bands)
                 ends = np.cumsum(lengths)
                 names = batch.column(0).to_pylist()
                 seeds = {n: np.uint64(xxhash.xxh3_64_intdigest(n or "")) for n in set(names)}
@@ -135,7 +141,7 @@ def _sketch_rows(shingle: int, least: int, keep: int, bands: int):
                 take = pa.array(texts, pa.int64())
                 flat = mix(sketch ^ salt[:, None]).view(np.int64).ravel() if len(texts) else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(texts) + 1) * bands).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind.view(np.int64)), pa.array(raw, pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind.view(np.int64)), pa.array(raw, pa.binary()), binary(marks), lists], schema=schema)
 
     return run
 
@@ -238,6 +244,22 @@ def aligned(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, shift:
     return best[:, -1]
 
 
+def least_marks(threshold: float, bands: int) -> int:
+    """Marks that a pair of the threshold has in common but for one in a million: the mean less 4.75 deviations."""
+    return max(0, int(bands * threshold - 4.75 * (bands * threshold * (1 - threshold)) ** 0.5))
+
+
+def _marked_rows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (matrix(batch.column(2), np.dtype("u1")) == matrix(batch.column(3), np.dtype("u1"))).sum(1)
+                kept = batch.filter(pa.array(same >= least))
+                yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+
+    return run
+
+
 def _verify_rows(shingle: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,17 +301,20 @@ def near_duplicates(texts: DataFrame, threshold: float, scratch: Scratch, shingl
     more, with the share of words that a banded alignment brings together. ``members``: ``(name, id, kind)``, the class of
     every record that can match at all.
     """
-    rows = "name string, id long, kind long, words binary, bands array<long>"
+    rows = "name string, id long, kind long, words binary, marks binary, bands array<long>"
     kept = texts.where("name is not null and id is not null").select("name", F.col("id").cast("long").alias("id"), "text")
     sketch = scratch.save(kept.mapInArrow(_sketch_rows(shingle, least, KEEP, BANDS), rows), "sketches")
     bands = sketch.select(F.explode("bands").alias("band"), "kind")
     met = scratch.save(bands.repartition("band").sortWithinPartitions("band", "kind").mapInArrow(_band_pairs(hot), "a long, b long").distinct(), "met")
-    pairs = met.where("b is not null")
+    marks = sketch.select("kind", "marks").dropDuplicates(["kind"])
+    near = met.where("b is not null").join(marks.select(F.col("kind").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("kind").alias("b"), F.col("marks").alias("mb")), "b")
+    pairs = near.select("a", "b", "ma", "mb").mapInArrow(_marked_rows(least_marks(threshold, BANDS)), "a long, b long")
     crowded = met.where("b is null").select(F.col("a").alias("kind"))
     some_crowded = not crowded.isEmpty()
     if some_crowded:
         words = sketch.join(crowded.distinct(), "kind", "left_semi").select("kind", "words").dropDuplicates(["kind"])
-        pairs = scratch.save(pairs.union(_prefixes(words, shingle, threshold, scratch)).distinct(), "candidates")
+        pairs = pairs.union(_prefixes(words, shingle, threshold, scratch)).distinct()
+    pairs = scratch.save(pairs, "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct()
     words = scratch.save(sketch.select("kind", "words").join(ends, "kind", "left_semi").dropDuplicates(["kind"]), "words")
     left = words.select(F.col("kind").alias("a"), F.col("words").alias("wa"))
