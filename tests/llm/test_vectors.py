@@ -122,3 +122,39 @@ def test_clusters(spark):
     x = np.concatenate([4 * np.eye(12)[i] + 0.3 * rng.normal(size=(7, 12)) for i in range(5)] + [-4 * np.eye(12)[:3]])
     got = clusters(vectors(spark, x), 0.8, Scratch(spark)).collect()
     assert [r["size"] for r in got] == [7] * 5 and all(len(r.typical_ids) <= 3 and r.representative_id == r.typical_ids[0] for r in got)
+
+
+def test_rank_is_that_of_spark(spark):
+    ids = np.array([0, 1, -1, 5, 1001, 1 << 40, -(1 << 62), (1 << 63) - 1])
+    got = spark.createDataFrame([(int(i),) for i in ids], "id long").select(F.xxhash64(F.lit(5), "id")).collect()
+    assert pivot._rank(ids).tolist() == [r[0] for r in got]
+
+
+def test_a_dense_group_is_one_cluster(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([4 * np.eye(12)[0] + 0.3 * rng.normal(size=(400, 12)), 4 * np.eye(12)[1] + 0.3 * rng.normal(size=(5, 12))])
+    got = clusters(vectors(spark, x), 0.8, Scratch(spark)).collect()
+    assert sorted(r["size"] for r in got) == [5, 400]
+    u = x[:400] / np.linalg.norm(x[:400], axis=1)[:, None]
+    assert max(got, key=lambda r: r["size"]).representative_id == int(np.argmax((u @ u.T).sum(1)))
+
+
+def test_dense_clusters_against_brute_force(spark):
+    x = np.random.default_rng(9).normal(size=(1200, 3))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    near, rank = (s >= 0.8) & ~np.eye(len(x), dtype=bool), pivot._rank(np.arange(len(x)))
+    active, pivots = np.ones(len(x), bool), []
+    while True:
+        low = np.where(near & active, rank, np.iinfo(np.int64).max).min(1)
+        new = np.flatnonzero(active & (near & active).any(1) & (rank < low))
+        if not len(new):
+            break
+        pivots += new.tolist()
+        active &= ~near[new].any(0)
+        active[new] = False
+    want = np.where(near[:, pivots], s[:, pivots], -2)
+    group = np.where(want.max(1) > -2, np.array(pivots)[want.argmax(1)], np.arange(len(x)))
+    assigned = {r.id: r.pivot for r in pivot.cluster(vectors(spark, x), 0.8, Scratch(spark))[0].collect()}
+    assert near.sum(1).max() > 64 and sorted(set(assigned.values())) == sorted(set(group.tolist()))
+    assert sum(assigned[i] != g for i, g in enumerate(group.tolist())) <= 2  # two pivots within 1e-4

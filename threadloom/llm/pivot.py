@@ -6,12 +6,14 @@ the next round. Then members move to the closest pivot that they are similar to
 computed anew.
 
 The graph stays linear in dense regions: a row that has more than ``DENSE`` similar rows in a meeting of the search keeps
-its neighbour of smallest rank, which decides about pivots, and its ``DENSE`` nearest. Equal vectors are one vertex with a weight.
+its neighbour of smallest rank, which decides about pivots, and its ``DENSE`` nearest. Rows that lost a pair that way are
+searched again in each round, for their smallest active neighbour and for pivots similar to them, and at the end for their
+closest pivot; so the outcome is that of all pairs that meet. Equal vectors are one vertex with a weight.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,28 @@ from threadloom.session import Scratch
 DENSE = 64
 #: Members of a group that one task holds, at most.
 HELD = 4096
-EDGE = "vset string, left_id long, right_id long, cos double"
+#: ``lost``: 1 if the left row has pairs of the meeting left out, 2 if the right one, 3 if both.
+EDGE = "vset string, left_id long, right_id long, cos double, lost byte"
+LINK = "u long, v long, cos double"
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
 def _rank(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    """``xxhash64(5, id)`` as Spark computes it, so that the search and the rounds order vertices alike."""
+    p1, p2, p3, p4, p5 = _PRIMES
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+        return x ^ (x >> np.uint64(32))
+
+    five = np.full(1, 5, np.uint64)
+    seed = mixed(turned((np.full(1, 42, np.uint64) + p5 + np.uint64(4)) ^ (five * p1), 23) * p2 + p3)
+    key = turned(np.asarray(ids, np.int64).view(np.uint64) * p2, 31) * p1
+    return mixed(turned((seed + p5 + np.uint64(8)) ^ key, 27) * p1 + p4).view(np.int64)
 
 
 def _rank_column(c: str):
@@ -40,7 +58,10 @@ def _rank_column(c: str):
 
 
 def similar_edges(floor: float, dense: int = DENSE):
-    """Emitter of the similar pairs of a meeting, at most ``2 * dense + 2`` for each of its rows."""
+    """Emitter of the similar pairs of a meeting, at most ``2 * dense + 2`` for each of its rows.
+
+    A pair is left out only if both rows have more than ``dense``; a row with such pairs is marked in each pair that it keeps.
+    """
 
     def thinned(hit: np.ndarray, s: np.ndarray, rank: np.ndarray) -> np.ndarray:
         keep = hit
@@ -62,12 +83,54 @@ def similar_edges(floor: float, dense: int = DENSE):
         if not same:
             keep = keep | thinned(hit.T, s.T, _rank(a)).T
         i, j = np.nonzero(keep)
-        left, right = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        return [pa.array([vset] * len(i), pa.string()), pa.array(left), pa.array(right), pa.array(s[i, j].astype(np.float64))]
+        out = hit & ~keep
+        lost_a = out.any(1)[i]
+        lost_b = np.zeros(len(j), bool) if same else out.any(0)[j]  # of the members, each is a row of its own once
+        first = a[i] < b[j]
+        left, right = np.where(first, a[i], b[j]), np.where(first, b[j], a[i])
+        lost = np.where(first, lost_a, lost_b) + 2 * np.where(first, lost_b, lost_a)
+        return [pa.array([vset] * len(i), pa.string()), pa.array(left), pa.array(right), pa.array(s[i, j].astype(np.float64)), pa.array(lost.astype(np.int8))]
+
+    return emit
+
+
+def _linked(floor: float, pick):
+    """Emitter of one pair at most for each row of a meeting: ``pick(hit, s, p, q)`` gives rows and partners. Rows are (id, tag)."""
+
+    def emit(vset, a, b, s, same):
+        hit = s >= floor
+        hit &= a[:, :1] != b[None, :, 0]
+        if not hit.any():
+            return None
+        u, v, cos = [], [], []
+        for h, m, p, q in [(hit, s, a, b)] + ([] if same else [(hit.T, s.T, b, a)]):
+            i, j = pick(h, m, p, q)
+            u.append(p[i, 0])
+            v.append(q[j, 0])
+            cos.append(m[i, j].astype(np.float64))
+        return [pa.array(np.concatenate(c)) for c in (u, v, cos)]
 
     return emit
 
 
+def _smallest(hit, s, p, q):
+    """Each row's partner of smallest rank."""
+    order = np.argsort(_rank(np.ascontiguousarray(q[:, 0])))
+    i = np.flatnonzero(hit.any(1))
+    return i, order[np.argmax(hit[i][:, order], axis=1)] if len(i) else i
+
+
+def _closest(hit, s, p, q):
+    """The closest pivot (tag 1) of each other row."""
+    rows, cols = np.flatnonzero(p[:, 1] == 0), np.flatnonzero(q[:, 1] == 1)
+    if not len(rows) or not len(cols):
+        return rows[:0], cols[:0]
+    cos = np.where(hit[np.ix_(rows, cols)], s[np.ix_(rows, cols)], np.float32(-2))
+    best = np.argmax(cos, axis=1)
+    ok = cos[np.arange(len(rows)), best] > -2
+    return rows[ok], cols[best[ok]]
+
+
 def copies_of(vectors: DataFrame) -> DataFrame:
     """``(id, member)`` of the groups of equal vectors: the smallest id and each of the others."""
     narrow = vectors.select("vset", "id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(3), "vec").alias("h2"))
@@ -75,26 +138,46 @@ def copies_of(vectors: DataFrame) -> DataFrame:
     return narrow.join(least, ["vset", "h1", "h2"]).where("id <> first").select(F.col("first").alias("id"), F.col("id").alias("member"))
 
 
-def pivot_rounds(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(id, pivot)`` of every vertex with an edge. ``edges``: ``(left_id, right_id, cos)``, once each, a written table."""
+def pivot_rounds(edges: DataFrame, scratch: Scratch, lossy: DataFrame | None = None, again: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """``(id, pivot)`` of every vertex with an edge. ``edges``: ``(left_id, right_id, cos)``, once each, a written table.
+
+    ``lossy``: ``(vset, id, vec)`` of the vertices of which edges are missing; all that is missing links two of them.
+    ``again(rows, pick)`` searches among such rows with a tag and gives ``(u, v, cos)``: each row's active neighbour of
+    smallest rank (``smallest``), or its closest pivot (``closest``).
+    """
     both = edges.select(F.explode(F.array(F.struct(F.col("left_id").alias("u"), F.col("right_id").alias("v"), "cos"), F.struct(F.col("right_id").alias("u"), F.col("left_id").alias("v"), "cos"))).alias("e")).select("e.*")
     every = scratch.save(both, "both")
-    now, pivots, step = every, None, 0
+    now, pivots, step, active = every, None, 0, lossy
+
+    def tagged(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        return rows.join(chosen, F.col("id") == F.col("p"), "left").select("vset", "id", "vec", F.col("p").isNotNull().cast("long").alias("tag"))
+
     while True:
-        low = now.groupBy("u").agg(F.min(_rank_column("v")).alias("low"))
+        ahead = now.select("u", "v")
+        if active is not None and step:  # at first all are active, and the edges hold the smallest neighbour
+            ahead = ahead.unionAll(again(active.withColumn("tag", F.lit(0).cast("long")), "smallest").select("u", "v"))
+        low = ahead.groupBy("u").agg(F.min(_rank_column("v")).alias("low"))
         chosen = scratch.save(low.where(_rank_column("u") < F.col("low")).select(F.col("u").alias("p")), f"pivots-{step}")
         if chosen.isEmpty():
             break
         pivots = chosen if pivots is None else pivots.unionAll(chosen)
-        gone = now.join(chosen, F.col("v") == F.col("p"), "left_semi").select(F.col("u").alias("p")).unionAll(chosen).distinct()
-        gone = scratch.save(gone, f"gone-{step}")
+        gone = now.join(chosen, F.col("v") == F.col("p"), "left_semi").select(F.col("u").alias("p")).unionAll(chosen)
+        if active is not None:
+            gone = gone.unionAll(again(tagged(active, chosen), "closest").select(F.col("u").alias("p")))
+        gone = scratch.save(gone.distinct(), f"gone-{step}")
         step += 1
         rest = now.join(gone, F.col("u") == F.col("p"), "left_anti").join(gone, F.col("v") == F.col("p"), "left_anti")
         now = scratch.save(rest, f"edges-{step}")
+        if active is not None:
+            active = scratch.save(active.join(gone, F.col("id") == F.col("p"), "left_anti"), f"active-{step}")
+            active = None if active.isEmpty() else active
     if pivots is None:
         return every.select(F.col("u").alias("id"), F.col("v").alias("pivot")).limit(0)
     # every member moves to its closest pivot; a vertex without one is alone
-    near = every.join(pivots, F.col("v") == F.col("p")).groupBy("u").agg(F.max_by("v", F.struct("cos", -F.col("v"))).alias("pivot"))
+    pairs = every.join(pivots, F.col("v") == F.col("p")).select("u", "v", "cos")
+    if lossy is not None:
+        pairs = pairs.unionAll(again(tagged(lossy, pivots), "closest"))
+    near = pairs.groupBy("u").agg(F.max_by("v", F.struct("cos", -F.col("v"))).alias("pivot"))
     own = pivots.select(F.col("p").alias("id"), F.col("p").alias("pivot"))
     moved = near.join(pivots, F.col("u") == F.col("p"), "left_anti").select(F.col("u").alias("id"), "pivot")
     assigned = own.unionAll(moved)
@@ -181,8 +264,11 @@ def measure(members: DataFrame, floor: float, scratch: Scratch, held: int = HELD
     return out.unionByName(means.join(ok, "group_id", "left").select("group_id", "id", "weight", "mean", F.coalesce("ok", F.lit(False)).alias("tight")))
 
 
-def cluster(vectors: DataFrame, floor: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(members, edges, copies, distinct vectors): ``members`` ``(id, pivot)`` of every vertex that has a similar one."""
+def cluster(vectors: DataFrame, floor: float, scratch: Scratch, exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, edges, copies, distinct vectors): ``members`` ``(id, pivot)`` of every vertex that has a similar one.
+
+    Without ``exact`` the pivots are those of the edges that are kept, which is enough where linked clusters are put together.
+    """
     vectors = scratch.save(vectors, "vectors")
     copies = scratch.save(copies_of(vectors), "copies")
     one = vectors
@@ -190,9 +276,15 @@ def cluster(vectors: DataFrame, floor: float, scratch: Scratch) -> tuple[DataFra
         one = scratch.save(vectors.join(copies.select(F.col("member").alias("id")), "id", "left_anti").select("vset", "id", "vec"), "distinct")
     index = build_index(one, 8, floor)
     found = search(bin_rows(one, index), similar_edges(floor), EDGE)
-    edges = scratch.save(found.groupBy("left_id", "right_id").agg(F.max("cos").alias("cos")), "edges")
+    edges = scratch.save(found.groupBy("left_id", "right_id").agg(F.max("cos").alias("cos"), F.bit_or("lost").alias("lost")), "edges")
     alone = copies.select("id").distinct().select("id", F.col("id").alias("pivot"))  # equal vectors without another similar one
-    assigned = pivot_rounds(edges, scratch)
+    lossy = None
+    if exact and not edges.where("lost > 0").isEmpty():
+        ends = F.explode(F.array(F.when(F.col("lost").bitwiseAND(1) > 0, F.col("left_id")), F.when(F.col("lost").bitwiseAND(2) > 0, F.col("right_id"))))
+        marked = edges.where("lost > 0").select(ends.alias("id")).where("id is not null").distinct()
+        lossy = scratch.save(one.join(marked, "id", "left_semi").select("vset", "id", "vec"), "lossy")
+    picks = {"smallest": _smallest, "closest": _closest}
+    assigned = pivot_rounds(edges, scratch, lossy, lambda rows, pick: search(bin_rows(rows, index), _linked(floor, picks[pick]), LINK))
     assigned = assigned.unionAll(alone.join(assigned.select("id"), "id", "left_anti"))
     return scratch.save(assigned, "assigned"), edges, copies, one
 
@@ -223,7 +315,7 @@ def isolated_clusters(vectors: DataFrame, floor: float, least: int, scratch: Scr
     Clusters that a found pair links are held together, so a member that its pivot missed is not lost; all pairs of what
     results are checked on the exact vectors.
     """
-    assigned, edges, copies, one = cluster(vectors, floor, scratch)
+    assigned, edges, copies, one = cluster(vectors, floor, scratch, exact=False)
     left, right = assigned.select(F.col("id").alias("left_id"), F.col("pivot").alias("a")), assigned.select(F.col("id").alias("right_id"), F.col("pivot").alias("b"))
     between = edges.join(left, "left_id").join(right, "right_id").where("a <> b").select("a", "b").distinct()
     linked = grid.groups(between, "a", "b", scratch)

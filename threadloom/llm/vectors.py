@@ -200,8 +200,10 @@ def _spread(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 def bin_rows(vectors: DataFrame, index: Index) -> DataFrame:
     """``(vset, leaf, block, role, id, q)``: each row once as member of its leaf (role 0), and as query (role 1) of the
     other leaves that it visits and of the further blocks of its own. ``q`` is the vector in 16-bit integers, whose
-    cosines differ from the exact ones by less than 1e-4.
+    cosines differ from the exact ones by less than 1e-4. A fourth column of the rows, ``tag long``, comes along as the last.
     """
+    tagged = len(vectors.columns) > 3
+    schema = "vset string, leaf int, block int, role byte, id long, q binary" + (", tag long" if tagged else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (vset,), part in runs(batches, 1):
@@ -224,12 +226,12 @@ def bin_rows(vectors: DataFrame, index: Index) -> DataFrame:
                 block.append(np.arange(int(reps.sum())) - first + np.repeat(start, reps))
                 role.append(np.ones(int(reps.sum()), np.int8))
             rows, leaf, block, role = (np.concatenate(v) for v in (rows, leaf, block, role))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([vset] * len(rows), pa.string()), pa.array(leaf.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(role), pa.array(ids[rows]), binary(q[rows])],
-                names=["vset", "leaf", "block", "role", "id", "q"],
-            )
+            cols = [pa.array([vset] * len(rows), pa.string()), pa.array(leaf.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(role), pa.array(ids[rows]), binary(q[rows])]
+            if tagged:
+                cols.append(pa.array(np.asarray(part.column(3))[rows]))
+            yield pa.RecordBatch.from_arrays(cols, names=["vset", "leaf", "block", "role", "id", "q", "tag"][: len(cols)])
 
-    return vectors.mapInArrow(run, "vset string, leaf int, block int, role byte, id long, q binary")
+    return vectors.mapInArrow(run, schema)
 
 
 def _unit(q: np.ndarray) -> np.ndarray:
@@ -241,7 +243,7 @@ def search(binned: DataFrame, emit, schema: str) -> DataFrame:
     """Hold the members of each block against each other and against the queries that visit it.
 
     ``emit(vset, ids_a, ids_b, cosines, same)`` gives a list of columns for what is to come out of one meeting; ``same`` says
-    that both sides are the members. A task holds one block at a time.
+    that both sides are the members. Of tagged rows the ids are pairs (id, tag). A task holds one block at a time.
     """
     names = [part.split()[0] for part in schema.split(",")]
     keys = ["vset", "leaf", "block"]
@@ -270,6 +272,8 @@ def search(binned: DataFrame, emit, schema: str) -> DataFrame:
                     yield from close(at[0])
                 at, members = key[:3], (np.zeros(0, np.int64), None)
             own, v = np.asarray(part.column(4)), _unit(matrix(part.column(5), np.dtype("<i2")))
+            if part.num_columns > 6:
+                own = np.stack([own, np.asarray(part.column(6))], axis=1)
             if key[3] == 0:
                 ids.append(own)
                 x.append(v)
