@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.llm import pivot
+from threadloom.llm.grid import union_find
 from threadloom.llm.knn import nearest, similar_pairs
 from threadloom.llm.pivot import clusters, isolated_clusters, measure
 from threadloom.llm.tree import best_bins, fit_tree
@@ -158,3 +159,43 @@ def test_dense_clusters_against_brute_force(spark):
     assigned = {r.id: r.pivot for r in pivot.cluster(vectors(spark, x), 0.8, Scratch(spark))[0].collect()}
     assert near.sum(1).max() > 64 and sorted(set(assigned.values())) == sorted(set(group.tolist()))
     assert sum(assigned[i] != g for i, g in enumerate(group.tolist())) <= 2  # two pivots within 1e-4
+
+
+@pytest.mark.parametrize("n", [40, 20])
+def test_thinned_pairs_link_the_same_rows(n):
+    # groups of ten, each linked to the next by its least similar pair, which is no neighbour of smallest rank
+    s = np.full((40, 40), 0.1, np.float32)
+    for g in range(4):
+        at = np.arange(10 * g, 10 * g + 10)
+        s[np.ix_(at, at)] = 0.95
+    ids = np.concatenate([np.sort(g)[np.argsort(-pivot._rank(np.sort(g)))] for g in np.arange(40).reshape(4, 10)])
+    order = np.arange(0, 40, 10)[np.argsort(-pivot._rank(ids[::10]))]
+    for g, h in zip(order[:-1], order[1:]):
+        s[g, h] = s[h, g] = 0.91
+    a, b = (ids, ids) if n == 40 else (ids[:20], ids[20:])
+    s = s if n == 40 else np.maximum(s[:20, 20:], np.kron(np.eye(2), np.full((10, 10), 0.95))).astype(np.float32)
+    cols = pivot.similar_edges(0.9, dense=3)("v", a, b, s, n == 40)
+    i, j = np.nonzero((s >= 0.9) & (a[:, None] != b))
+    every, kept = union_find(a[i], b[j]), union_find(cols[1].to_numpy(), cols[2].to_numpy())
+    assert all((u == v).all() for u, v in zip(every, kept)) and len(cols[0]) < len(i)
+
+
+def test_dense_groups_that_one_pair_links_are_not_isolated(spark):
+    # two groups of 80 around (1, 0) and at a right angle; row 0 and row 80 lean towards each other
+    rng = np.random.default_rng(11)
+    x = 0.01 * rng.normal(size=(160, 6))
+    x[:80, 0] += 1
+    x[80:, 1] += 1
+    lean = np.deg2rad(27)
+    x[0, :2], x[80, :2] = (np.cos(lean), np.sin(lean)), (np.sin(lean), np.cos(lean))
+    x = np.concatenate([x, 0.01 * rng.normal(size=(5, 6)) - np.eye(6)[2]])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    assert s[0, 80] >= 0.8 and (s[:80, 80:160] >= 0.8).sum() == 1 and s[:80, :80].min() >= 0.8 and s[80:160, 80:160].min() >= 0.8
+    # ids of which the two leaning rows are nobody's neighbour of smallest rank
+    ids = np.arange(165)
+    ids[:160] = rng.permutation(160)
+    while {np.argmin(pivot._rank(ids[:80])), np.argmin(pivot._rank(ids[80:160]))} & {0}:
+        ids[:160] = rng.permutation(160)
+    got = {r.id for r in isolated_clusters(vectors(spark, x, ids), 0.8, 4, Scratch(spark)).collect()}
+    assert got == {160, 161, 162, 163, 164}

@@ -57,8 +57,37 @@ def _rank_column(c: str):
     return F.struct(F.xxhash64(F.lit(5), F.col(c)).alias("rank"), F.col(c).alias("id"))
 
 
+def _bridges(a: np.ndarray, b: np.ndarray, keep: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``out``, fewer than 4 for each row, that link all which it links beyond the pairs of ``keep``."""
+    vertex, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ca, cb = code[: len(a)], code[len(a) :]
+    i, j = np.nonzero(keep)
+    label = np.arange(len(vertex))
+
+    def link(u: np.ndarray, v: np.ndarray) -> None:
+        nonlocal label
+        at, root = grid.union_find(u, v)
+        up = np.arange(len(vertex))
+        up[at] = root
+        label = up[label]
+
+    link(ca[i], cb[j])
+    i, j = np.nonzero(out & (label[ca][:, None] != label[cb][None, :]))
+    rows, cols = [], []
+    while len(i):
+        la, lb = label[ca[i]], label[cb[j]]
+        at = np.unique(np.concatenate([np.unique(la, return_index=True)[1], np.unique(lb, return_index=True)[1]]))
+        rows.append(i[at])
+        cols.append(j[at])
+        link(la[at], lb[at])
+        open_ = label[ca[i]] != label[cb[j]]
+        i, j = i[open_], j[open_]
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (i, j)
+
+
 def similar_edges(floor: float, dense: int = DENSE):
-    """Emitter of the similar pairs of a meeting, at most ``2 * dense + 2`` for each of its rows.
+    """Emitter of the similar pairs of a meeting, linear in its rows: about ``dense`` for each, and what else it takes that
+    the pairs kept link the same rows, directly or through others, as all pairs do.
 
     A pair is left out only if both rows have more than ``dense``; a row with such pairs is marked in each pair that it keeps.
     """
@@ -82,8 +111,12 @@ def similar_edges(floor: float, dense: int = DENSE):
         keep = thinned(hit, s, _rank(b))
         if not same:
             keep = keep | thinned(hit.T, s.T, _rank(a)).T
-        i, j = np.nonzero(keep)
         out = hit & ~keep
+        if out.any():
+            i, j = _bridges(a, b, keep, out)
+            keep[i, j] = True
+            out[i, j] = False
+        i, j = np.nonzero(keep)
         lost_a = out.any(1)[i]
         lost_b = np.zeros(len(j), bool) if same else out.any(0)[j]  # of the members, each is a row of its own once
         first = a[i] < b[j]
@@ -312,7 +345,7 @@ def isolated_clusters(vectors: DataFrame, floor: float, least: int, scratch: Scr
     """``(representative_id, id)`` of the clusters of ``least`` or more in which every pair reaches ``floor`` and that no
     found pair links to a row outside; the representative has the highest mean cosine, ties to the smaller id.
 
-    Clusters that a found pair links are held together, so a member that its pivot missed is not lost; all pairs of what
+    The edges kept link the same rows as all pairs found, so a group has no pair with a row outside. Clusters that a found pair links are held together, so a member that its pivot missed is not lost; all pairs of what
     results are checked on the exact vectors.
     """
     assigned, edges, copies, one = cluster(vectors, floor, scratch, exact=False)
