@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from threadloom.llm import omh, spans
+from threadloom.llm import omh, queries, spans
 from threadloom.llm.bpe import WORDS, token_counts, token_ids, vocabulary
 from threadloom.llm.grid import groups, union_find
 from threadloom.llm.omh import member_pairs, near_duplicates
@@ -264,6 +264,31 @@ def test_chains_keep_order():
     assert c[0] == c[1] == c[2] != c[3]
 
 
+def edited(text, step):
+    return "".join("#" if i % step == step - 1 else c for i, c in enumerate(text))
+
+
+def test_passages_with_small_edits(spark, tmp_path):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    short = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    docs = [(1, "x" * 9 + base), (2, edited(base, 120) + "y"), (3, short + "z"), (4, "w" + short + "w" * 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    (r,) = queries.p9_passages(spark, str(tmp_path)).collect()
+    assert (r.left_id, r.right_id, r.n_spans, r.matched_chars) == (1, 2, 5, 5 * 119)
+    assert (r.left_start, r.left_end, r.right_start, r.right_end) == (9, 608, 0, 599)
+
+
+def test_passages_of_hot_spans_cover_all_documents(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spans, "HOT", 2)
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(160))
+    docs = [(1, base[:110] + "q" * 60), (2, "r" * 60 + base[50:])] + [(i, base + chr(60 + i) * i) for i in range(3, 9)] + [(9, "t" * 60 + base[30:140])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = queries.p9_passages(spark, str(tmp_path)).collect()
+    assert {i for r in rows for i in (r.left_id, r.right_id) if r.matched_chars >= 150} == set(range(3, 9))
+
+
 def test_marks_tell_hopeless_candidates():
     rng = np.random.default_rng(10)
     least = omh.least_marks(0.6, omh.BANDS)

@@ -14,7 +14,7 @@ from threadloom.llm.omh import member_pairs, near_duplicates
 from threadloom.llm.oracles import ORACLES  # noqa: F401
 from threadloom.llm.packing import pack
 from threadloom.llm.pivot import clusters, isolated_clusters
-from threadloom.llm.spans import shared_amounts, shared_spans
+from threadloom.llm.spans import passages, shared_amounts
 from threadloom.llm.split import split_texts
 from threadloom.llm.vectors import usable_vectors
 from threadloom.operators.latest import latest
@@ -145,11 +145,11 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, root: str) -> DataFrame:
-    """Passages that two documents share up to gaps: one row per chain of exact spans."""
+    """Passages of 150 or more matched characters that two documents share up to gaps: one row per chain of exact spans of 100 or more."""
     tune(spark)
-    spans = shared_spans(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text", 150, Scratch(spark))
-    ends = [F.min("start_a").alias("left_start"), F.max(F.col("start_a") + F.col("size")).alias("left_end"), F.min("start_b").alias("right_start"), F.max(F.col("start_b") + F.col("size")).alias("right_end")]
-    return spans.groupBy(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "chain").agg(*ends, F.count("*").alias("n_spans"), F.sum("size").alias("matched_chars"))
+    found = passages(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text", 150, Scratch(spark))
+    names = {"a": "left_id", "b": "right_id", "chain": "chain", "start_a": "left_start", "end_a": "left_end", "start_b": "right_start", "end_b": "right_end", "n_spans": "n_spans", "matched": "matched_chars"}
+    return found.select(*(F.col(c).alias(n) for c, n in names.items()))
 
 
 QUERIES = {
