@@ -289,6 +289,20 @@ def test_passages_of_hot_spans_cover_all_documents(spark, monkeypatch, tmp_path)
     assert {i for r in rows for i in (r.left_id, r.right_id) if r.matched_chars >= 150} == set(range(3, 9))
 
 
+def test_passages_tell_copies_and_classes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spans, "HOT", 2)
+    rng = random.Random(14)
+    one, two, own = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3))
+    docs = [(i, chr(60 + i) * i + one) for i in range(6)] + [(i, two) for i in (10, 11, 12)] + [(13, two + "z"), (14, own), (15, own), (16, "p" * 200 + "s" * 9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = queries.p9_passages(spark, str(tmp_path)).collect()
+    members = collections.defaultdict(set)
+    for r in rows:
+        members[r.class_id] |= {r.left_id, r.right_id}
+    assert sorted(map(sorted, members.values())) == [[0, 1, 2, 3, 4, 5], [10, 11, 12, 13], [14, 15]]
+    assert {(r.left_id, r.right_id, r.matched_chars) for r in rows if r.left_id >= 10} == {(10, 11, 200), (10, 12, 200), (10, 13, 200), (14, 15, 200)}
+
+
 def test_marks_tell_hopeless_candidates():
     rng = np.random.default_rng(10)
     least = omh.least_marks(0.6, omh.BANDS)
