@@ -7,13 +7,14 @@ block, and what a block emits is linear in its rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from threadloom.arrow import binary, matrix, runs
@@ -22,12 +23,14 @@ from threadloom.operators.latest import latest
 
 #: Most rows of a leaf that are held against a query at once.
 BLOCK = 4096
-#: Rows of a set that the tree is fitted on, at most, and the rows that recall is calibrated with.
-SAMPLE, PROBES = 32_768, 800
-#: The tree has at most this many leaves, so what is broadcast is bounded by it times the dimensions.
-MAX_LEAVES = 16_384
-#: Sets (kinds of vectors) of one call, at most; each has its own tree on the driver.
+#: Rows of a set that the tree is fitted on: ``FIT`` a leaf, between ``SAMPLE`` and ``FIT_BYTES`` of vectors. Rows that recall is calibrated with.
+SAMPLE, FIT, FIT_BYTES, PROBES = 32_768, 8, 1 << 26, 800
+#: A tree travels with the tasks, so all its centres take at most this; beyond, leaves grow and are cut into blocks.
+TREE_BYTES = 1 << 24
+#: Sets (kinds of vectors) that get a tree, at most: the largest. Any other set is one leaf, whose blocks all meet.
 MAX_SETS = 64
+#: Pairs of a probe and a neighbour that calibration is based on, at least, if need be some below the floor.
+LEAST_PAIRS = 100
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,112 +81,136 @@ def usable_vectors(rows: DataFrame, kind: Column, ident: str, value: str, dimens
 
 @dataclass(frozen=True)
 class Index:
-    """Per set: the tree, the calibrated number of leaf visits, the blocks of each leaf, and the recall measured."""
+    """Per set: the tree, the calibrated number of leaf visits, the blocks of each leaf, and the recall measured.
+
+    A set without a tree is a single leaf; its recall is 1.
+    """
 
     trees: dict[str, Tree]
     visits: dict[str, int]
     blocks: dict[str, np.ndarray]
     recall: dict[str, float]
 
+    def leaves(self, vset: str, x: np.ndarray, visits: int) -> np.ndarray:
+        return best_bins(self.trees[vset], x, visits) if vset in self.trees else np.zeros((len(x), 1), np.int32)
 
-def _collect_vectors(df: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    got = df.toArrow()
-    out = {}
-    names = got.column("vset").combine_chunks()
-    for vset in names.unique().to_pylist():
-        part = got.filter(pc.equal(got.column("vset"), vset)).combine_chunks()
-        out[vset] = (np.asarray(part.column("id")), matrix(part.column("vec"), np.dtype("<f4")))
-    return out
+    def blocks_of(self, vset: str, leaf: np.ndarray) -> np.ndarray:
+        return self.blocks[vset][leaf] if vset in self.blocks else np.ones(len(leaf), np.int64)
+
+
+def _fit(counts: dict[str, int], leaf_rows: int):
+    """The tree of one set, fitted where its sample lies, so that no vectors go to the driver."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vset = table.column("vset")[0].as_py()
+        x = matrix(table.column("vec"), np.dtype("<f4"))
+        tree = fit_tree(x, _leaf_count(vset, counts[vset], leaf_rows))
+        return pa.table({"vset": [vset], "tree": pa.array([pickle.dumps((tree.centers, tree.first_child, tree.n_children, tree.leaf_of))], pa.binary())})
+
+    return run
 
 
-def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int, floor: float):
-    """Brute force of the probes against a batch of rows: the k nearest of each, at least ``floor``."""
+def _leaf_count(vset: str, rows: int, leaf_rows: int) -> int:
+    return max(1, min(rows // leaf_rows, TREE_BYTES // (4 * int(vset.rpartition("#")[2]))))
+
+
+def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int):
+    """Brute force of the probes against the rows of a task: the k nearest of each, without their vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for (vset,), part in runs(batches, 1):
-            ids, q = probes.get(vset, (np.zeros(0, np.int64), np.zeros((0, 0), np.float32)))
-            if not len(ids):
+            if vset not in probes:
                 continue
-            x, own = matrix(part.column(2), np.dtype("<f4")), np.asarray(part.column(1))
+            own, q = probes[vset]
+            ids, x = np.asarray(part.column(1)), matrix(part.column(2), np.dtype("<f4"))
             s = q @ x.T
-            s[ids[:, None] == own[None, :]] = -2
-            kk = min(k, s.shape[1])
-            top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-            i, j = np.repeat(np.arange(len(ids)), kk), top.ravel()
-            hit = s[i, j] >= floor
-            i, j = i[hit], j[hit]
-            yield pa.RecordBatch.from_arrays([pa.array([vset] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(s[i, j].astype(np.float64)), binary(x[j]) if len(j) else pa.array([], pa.binary())], names=["vset", "probe", "cos", "vec"])
+            s[own[:, None] == ids[None, :]] = -2
+            cos, near = best.get(vset, (np.full((len(own), k), -2, np.float32), np.zeros((len(own), k), np.int64)))
+            cos, near = np.concatenate([cos, s], 1), np.concatenate([near, np.broadcast_to(ids, s.shape)], 1)
+            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            best[vset] = np.take_along_axis(cos, top, 1), np.take_along_axis(near, top, 1)
+        for vset, (cos, near) in best.items():
+            i, j = np.nonzero(cos > -2)
+            yield pa.RecordBatch.from_arrays([pa.array([vset] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(cos[i, j].astype(np.float64)), pa.array(near[i, j])], names=["vset", "probe", "cos", "id"])
 
     return run
 
 
+def _calibrated(tree: Tree, q: np.ndarray, x: np.ndarray, target: float) -> tuple[int, float]:
+    """The least number of visits at which ``target`` of the pairs of ``q`` and ``x`` meet in the first leaf of one of them, and that share."""
+    visit = 1
+    while True:
+        a, b = best_bins(tree, q, visit), best_bins(tree, x, visit)
+        hit = float(((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean())
+        if hit >= target or visit >= tree.leaves:
+            return visit, hit
+        visit += 1
+
+
 def build_index(vectors: DataFrame, k: int, floor: float, target: float = 0.995, leaf_rows: int = BLOCK) -> Index:
     """Fit a tree per set on a bounded sample and widen the leaf visits until the probes' recall reaches ``target``.
 
     Recall is measured against brute force over all rows: of the pairs of a probe and its ``k`` nearest rows at
-    ``floor`` or more, the share in which one of the two visits the other's leaf. ``vectors`` must be a written table,
-    as it is read three times. An empty table gives an empty index.
+    ``floor`` or more, the share in which one of the two visits the other's leaf. Where the probes have fewer than
+    ``LEAST_PAIRS`` such pairs, their nearest pairs below the floor are taken as well. Trees are fitted and the probes' nearest rows found
+    by tasks; trees, probes and the probes' k nearest rows come to the driver, all of a size that does not depend on
+    the data. ``vectors`` must be a written table, as several passes read it. An empty table gives an empty index.
     """
-    counts = {r["vset"]: r["count"] for r in vectors.groupBy("vset").count().limit(MAX_SETS + 1).collect()}
-    if len(counts) > MAX_SETS:
-        raise ValueError(f"more than {MAX_SETS} sets of vectors")
-    if not counts:
-        return Index({}, {}, {}, {})
-
-    def drawn(most: int, salt: int) -> DataFrame:
-        draw = F.pmod(F.xxhash64(F.lit(salt), "vset", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        share = F.lit(0.0)
-        for vset, n in counts.items():
-            share = F.when(F.col("vset") == vset, F.lit(min(1.0, most / n))).otherwise(share)
-        return vectors.where(draw < share)
-
-    trees = {}
-    for vset, (_, x) in _collect_vectors(drawn(SAMPLE, 11).limit(2 * SAMPLE * min(len(counts), 4))).items():
-        trees[vset] = fit_tree(x, min(MAX_LEAVES, max(1, counts[vset] // leaf_rows)))
-    for vset in counts:
-        if vset not in trees:
-            trees[vset] = fit_tree(np.zeros((1, int(vset.rpartition("#")[2])), np.float32), 1)
-    pa.default_memory_pool().release_unused()
-    visits = {v: 1 for v in trees}
-    recall = {v: 1.0 for v in trees}
-    wide = [v for v, t in trees.items() if t.leaves > 1]
-    if wide:
-        probes = _collect_vectors(drawn(PROBES, 23).where(F.col("vset").isin(wide)).limit(4 * PROBES * len(wide)))
-        near = vectors.where(F.col("vset").isin(wide)).mapInArrow(_probe(probes, k, floor), "vset string, probe int, cos double, vec binary")
-        found = near.toArrow()
-        for vset in wide:
-            part = found.filter(pc.equal(found.column("vset"), vset)).combine_chunks()
-            if not part.num_rows:
+    sizes = {r["vset"]: r["count"] for r in vectors.groupBy("vset").count().orderBy(F.col("count").desc(), "vset").limit(MAX_SETS).collect()}
+    counts = {v: n for v, n in sizes.items() if n >= 2 * leaf_rows}
+    trees: dict[str, Tree] = {}
+    if counts:
+
+        def drawn(most: Callable[[str], int], salt: int) -> DataFrame:
+            draw = F.pmod(F.xxhash64(F.lit(salt), "vset", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+            share = F.lit(0.0)
+            for vset, n in counts.items():
+                share = F.when(F.col("vset") == vset, F.lit(min(1.0, most(vset) / n))).otherwise(share)
+            return vectors.where(draw < share)
+
+        def fitted_on(vset: str) -> int:
+            return min(max(SAMPLE, FIT * _leaf_count(vset, counts[vset], leaf_rows)), FIT_BYTES // (4 * int(vset.rpartition("#")[2])))
+
+        fitted = drawn(fitted_on, 11).select("vset", "vec").groupBy("vset").applyInArrow(_fit(counts, leaf_rows), "vset string, tree binary")
+        trees = {r["vset"]: Tree(*pickle.loads(r["tree"])) for r in fitted.collect()}
+        trees = {v: t for v, t in trees.items() if t.leaves > 1}
+    visits, recall = {}, dict.fromkeys(sizes, 1.0)
+    if trees:
+        probes = {v: (np.array([r["id"] for r in part]), np.stack([np.frombuffer(r["vec"], "<f4") for r in part])) for v, part in _by_set(drawn(lambda _: PROBES, 23).where(F.col("vset").isin(list(trees)))).items()}
+        near = vectors.where(F.col("vset").isin(list(trees))).mapInArrow(_probe(probes, k), "vset string, probe int, cos double, id long")
+        rank = F.row_number().over(Window.partitionBy("vset", "probe").orderBy(F.col("cos").desc(), "id"))
+        top = near.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+        found = _by_set(vectors.join(F.broadcast(top), ["vset", "id"]).select("vset", "probe", "cos", "vec"))  # k rows a probe
+        for vset, tree in trees.items():
+            pairs = sorted(found.get(vset, []), key=lambda r: -r["cos"])
+            pairs = pairs[: max(LEAST_PAIRS, sum(r["cos"] >= floor for r in pairs))]
+            if not pairs:  # no row has a neighbour at all
+                visits[vset] = 1
                 continue
-            probe, cos, x = np.asarray(part.column("probe")), np.asarray(part.column("cos")), matrix(part.column("vec"), np.dtype("<f4"))
-            order = np.lexsort((-cos, probe))
-            probe, x = probe[order], x[order]
-            first = np.r_[0, np.flatnonzero(np.diff(probe)) + 1]
-            rank = np.arange(len(probe)) - np.repeat(first, np.diff(np.r_[first, len(probe)]))
-            probe, x = probe[rank < k], x[rank < k]
-            q = probes[vset][1][probe]
-            reach, visit = trees[vset].leaves, 1
-            while True:
-                a, b = best_bins(trees[vset], q, visit), best_bins(trees[vset], x, visit)
-                hit = ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean()
-                visits[vset], recall[vset] = visit, float(hit)
-                if hit >= target or visit >= reach:
-                    break
-                visit += 1
-    blocks = {v: np.ones(t.leaves, np.int64) for v, t in trees.items()}
-    found = vectors.mapInArrow(_first_leaves(trees), "vset string, leaf int, n long").groupBy("vset", "leaf").agg(F.sum("n").alias("n"))
-    for r in found.where(F.col("n") > 2 * BLOCK).collect():  # at most one row a leaf
-        blocks[r["vset"]][r["leaf"]] = -(-r["n"] // BLOCK)
-    return Index(trees, visits, blocks, recall)
-
-
-def _first_leaves(trees: dict[str, Tree]):
+            q, x = probes[vset][1][[r["probe"] for r in pairs]], np.stack([np.frombuffer(r["vec"], "<f4") for r in pairs])
+            visits[vset], recall[vset] = _calibrated(tree, q, x, target)
+    index = Index(trees, visits, {v: np.ones(t.leaves, np.int64) for v, t in trees.items()}, recall)
+    filled = vectors.mapInArrow(_first_leaves(index), "vset string, leaf int, n long").groupBy("vset", "leaf").agg(F.sum("n").alias("n"))
+    for r in filled.where(F.col("n") > 2 * BLOCK).collect():  # at most one row a leaf
+        index.blocks.setdefault(r["vset"], np.ones(1, np.int64))[r["leaf"]] = -(-r["n"] // BLOCK)
+    return index
+
+
+def _by_set(rows: DataFrame) -> dict[str, list[Row]]:
+    """Rows by set, of a table whose size is bounded."""
+    out: dict[str, list[Row]] = {}
+    for r in rows.collect():
+        out.setdefault(r["vset"], []).append(r)
+    return out
+
+
+def _first_leaves(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for (vset,), part in runs(batches, 1):
-            leaf = best_bins(trees[vset], matrix(part.column(2), np.dtype("<f4")), 1)[:, 0]
-            n = np.bincount(leaf, minlength=trees[vset].leaves)
-            total[vset] = total.get(vset, 0) + n
+            leaf = index.leaves(vset, matrix(part.column(2), np.dtype("<f4")), 1)[:, 0]
+            total[vset] = total.get(vset, 0) + np.bincount(leaf, minlength=index.trees[vset].leaves if vset in index.trees else 1)
         for vset, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([vset] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["vset", "leaf", "n"])
@@ -208,18 +235,18 @@ def bin_rows(vectors: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (vset,), part in runs(batches, 1):
             x, ids = matrix(part.column(2), np.dtype("<f4")), np.asarray(part.column(1))
-            leaves = best_bins(index.trees[vset], x, index.visits[vset])
-            nb = index.blocks[vset]
+            leaves = index.leaves(vset, x, index.visits.get(vset, 1))
             q = np.round(x * (32767 / np.abs(x).max(axis=1))[:, None]).astype("<i2")
             own = leaves[:, 0]
-            home = _spread(ids, nb[own])
+            nb = index.blocks_of(vset, own)
+            home = _spread(ids, nb)
             rows, leaf, block, role = [np.arange(len(ids))], [own], [home], [np.zeros(len(ids), np.int8)]
             r, c = np.nonzero(leaves[:, 1:] >= 0)
             seen = [(r, leaves[r, c + 1], np.zeros(len(r), np.int64))]
-            many = np.flatnonzero(nb[own] > 1)
+            many = np.flatnonzero(nb > 1)
             seen.append((many, own[many], home[many] + 1))  # only later blocks: each pair of blocks meets once
             for rr, ll, start in seen:
-                reps = nb[ll] - start
+                reps = index.blocks_of(vset, ll) - start
                 rows.append(np.repeat(rr, reps))
                 leaf.append(np.repeat(ll, reps))
                 first = np.repeat(np.cumsum(reps) - reps, reps)
