@@ -199,3 +199,32 @@ def test_dense_groups_that_one_pair_links_are_not_isolated(spark):
         ids[:160] = rng.permutation(160)
     got = {r.id for r in isolated_clusters(vectors(spark, x, ids), 0.8, 4, Scratch(spark)).collect()}
     assert got == {160, 161, 162, 163, 164}
+
+
+def test_a_clique_of_many_is_one_group(spark):
+    rng = np.random.default_rng(12)
+    x = 0.02 * rng.normal(size=(1200, 8)) + np.eye(8)[0]
+    df = vectors(spark, np.concatenate([x, -np.eye(8)[:2]]))
+    assert [r["size"] for r in clusters(df, 0.8, Scratch(spark)).collect()] == [1200]
+    got = isolated_clusters(df, 0.8, 4, Scratch(spark)).collect()
+    assert len({r.representative_id for r in got}) == 1 and {r.id for r in got} == set(range(1200))
+
+
+def test_pairs_that_the_search_missed(spark, monkeypatch):
+    # one visit of many small leaves misses pairs of most groups; edges lead back to the first pivot
+    rng = np.random.default_rng(13)
+    x = np.concatenate([4 * np.eye(16)[i] + 0.35 * rng.normal(size=(12, 16)) for i in range(16)])
+    index = pivot.build_index
+    monkeypatch.setattr(pivot, "build_index", lambda v, k, floor: index(v, k, floor, target=0.5, leaf_rows=4))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    cut = next(f for f in (0.8, 0.7, 0.6) if all(s[i : i + 12, i : i + 12].min() >= f for i in range(0, 192, 12)))
+    got = isolated_clusters(vectors(spark, x), cut, 4, Scratch(spark)).collect()
+    assert len(got) >= 0.9 * len(x) and all(r.id // 12 == r.representative_id // 12 for r in got)
+
+
+def test_sets_without_near_rows_are_calibrated(spark):
+    rng = np.random.default_rng(14)
+    df = Scratch(spark).save(vectors(spark, rng.normal(size=(600, 8))), "v")
+    index = build_index(df, 4, 0.9999, target=0.9, leaf_rows=30)
+    assert index.visits["s#8"] > 1 and 0.9 <= index.recall["s#8"] <= 1

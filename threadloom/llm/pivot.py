@@ -3,7 +3,8 @@
 The similarity graph comes from the tree search. Every vertex has a hash rank; in a round each vertex whose rank is smallest
 among its active neighbours is a pivot and absorbs them, an absorbed vertex going to its closest pivot; the rest goes on to
 the next round. Then members move to the closest pivot that they are similar to at all, and each cluster's medoid is
-computed anew.
+computed anew. The search may miss a pair of a row and a pivot; where an edge leads from the row into the pivot's cluster, the
+two are compared, and pivots found to be similar to each other make way by the same rule.
 
 The graph stays linear in dense regions: a row that has more than ``DENSE`` similar rows in a meeting of the search keeps
 its neighbour of smallest rank, which decides about pivots, and its ``DENSE`` nearest. Rows that lost a pair that way are
@@ -171,51 +172,80 @@ def copies_of(vectors: DataFrame) -> DataFrame:
     return narrow.join(least, ["vset", "h1", "h2"]).where("id <> first").select(F.col("first").alias("id"), F.col("id").alias("member"))
 
 
-def pivot_rounds(edges: DataFrame, scratch: Scratch, lossy: DataFrame | None = None, again: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """``(id, pivot)`` of every vertex with an edge. ``edges``: ``(left_id, right_id, cos)``, once each, a written table.
+def _both(edges: DataFrame) -> DataFrame:
+    """``(u, v, cos)``: each edge from either end."""
+    ends = F.array(F.struct(F.col("left_id").alias("u"), F.col("right_id").alias("v"), "cos"), F.struct(F.col("right_id").alias("u"), F.col("left_id").alias("v"), "cos"))
+    return edges.select(F.explode(ends).alias("e")).select("e.*")
+
+
+def _tagged(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    return rows.join(pivots, F.col("id") == F.col("p"), "left").select("vset", "id", "vec", F.col("p").isNotNull().cast("long").alias("tag"))
+
+
+def pivot_rounds(every: DataFrame, scratch: Scratch, name: str, lossy: DataFrame | None = None, again: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """``(p)``, the pivots of the graph ``every``: ``(u, v)``, each edge from either end, a written table.
 
     ``lossy``: ``(vset, id, vec)`` of the vertices of which edges are missing; all that is missing links two of them.
     ``again(rows, pick)`` searches among such rows with a tag and gives ``(u, v, cos)``: each row's active neighbour of
     smallest rank (``smallest``), or its closest pivot (``closest``).
     """
-    both = edges.select(F.explode(F.array(F.struct(F.col("left_id").alias("u"), F.col("right_id").alias("v"), "cos"), F.struct(F.col("right_id").alias("u"), F.col("left_id").alias("v"), "cos"))).alias("e")).select("e.*")
-    every = scratch.save(both, "both")
-    now, pivots, step, active = every, None, 0, lossy
-
-    def tagged(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-        return rows.join(chosen, F.col("id") == F.col("p"), "left").select("vset", "id", "vec", F.col("p").isNotNull().cast("long").alias("tag"))
-
+    now, pivots, step, active = every.select("u", "v"), None, 0, lossy
     while True:
-        ahead = now.select("u", "v")
+        ahead = now
         if active is not None and step:  # at first all are active, and the edges hold the smallest neighbour
             ahead = ahead.unionAll(again(active.withColumn("tag", F.lit(0).cast("long")), "smallest").select("u", "v"))
         low = ahead.groupBy("u").agg(F.min(_rank_column("v")).alias("low"))
-        chosen = scratch.save(low.where(_rank_column("u") < F.col("low")).select(F.col("u").alias("p")), f"pivots-{step}")
-        if chosen.isEmpty():
-            break
+        chosen = scratch.save(low.where(_rank_column("u") < F.col("low")).select(F.col("u").alias("p")), f"{name}-pivots-{step}")
         pivots = chosen if pivots is None else pivots.unionAll(chosen)
+        if chosen.isEmpty():
+            return pivots
         gone = now.join(chosen, F.col("v") == F.col("p"), "left_semi").select(F.col("u").alias("p")).unionAll(chosen)
         if active is not None:
-            gone = gone.unionAll(again(tagged(active, chosen), "closest").select(F.col("u").alias("p")))
-        gone = scratch.save(gone.distinct(), f"gone-{step}")
-        step += 1
+            gone = gone.unionAll(again(_tagged(active, chosen), "closest").select(F.col("u").alias("p")))
+        gone = scratch.save(gone.distinct(), f"{name}-gone-{step}")
         rest = now.join(gone, F.col("u") == F.col("p"), "left_anti").join(gone, F.col("v") == F.col("p"), "left_anti")
-        now = scratch.save(rest, f"edges-{step}")
+        now = scratch.save(rest, f"{name}-edges-{step + 1}")
         if active is not None:
-            active = scratch.save(active.join(gone, F.col("id") == F.col("p"), "left_anti"), f"active-{step}")
+            active = scratch.save(active.join(gone, F.col("id") == F.col("p"), "left_anti"), f"{name}-active-{step + 1}")
             active = None if active.isEmpty() else active
-    if pivots is None:
-        return every.select(F.col("u").alias("id"), F.col("v").alias("pivot")).limit(0)
-    # every member moves to its closest pivot; a vertex without one is alone
-    pairs = every.join(pivots, F.col("v") == F.col("p")).select("u", "v", "cos")
-    if lossy is not None:
-        pairs = pairs.unionAll(again(tagged(lossy, pivots), "closest"))
-    near = pairs.groupBy("u").agg(F.max_by("v", F.struct("cos", -F.col("v"))).alias("pivot"))
+        scratch.drop(f"{name}-gone-{step}")
+        if step:
+            scratch.drop(f"{name}-edges-{step}")
+        step += 1
+
+
+def _joined(every: DataFrame, pivots: DataFrame, more: list[DataFrame]) -> DataFrame:
+    """``(id, pivot)``: every vertex with the closest pivot that it has an edge to, by ``every`` or ``more``; one without any is alone."""
+    pairs = every.select("u", "v", "cos")
+    for extra in more:
+        pairs = pairs.unionAll(extra)
+    near = pairs.join(pivots, F.col("v") == F.col("p"), "left_semi").groupBy("u").agg(F.max_by("v", F.struct("cos", -F.col("v"))).alias("pivot"))
     own = pivots.select(F.col("p").alias("id"), F.col("p").alias("pivot"))
     moved = near.join(pivots, F.col("u") == F.col("p"), "left_anti").select(F.col("u").alias("id"), "pivot")
     assigned = own.unionAll(moved)
-    alone = every.select(F.col("u").alias("id")).distinct().join(assigned, "id", "left_anti").select("id", F.col("id").alias("pivot"))
-    return assigned.unionAll(alone)
+    return assigned.unionAll(every.select(F.col("u").alias("id")).distinct().join(assigned, "id", "left_anti").select("id", F.col("id").alias("pivot")))
+
+
+def _cosines(floor: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cos = (matrix(b.column(2), np.dtype("<f4")).astype(np.float64) * matrix(b.column(3), np.dtype("<f4"))).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cos)], names=["u", "v", "cos"]).filter(pa.array(cos >= floor))
+
+    return run
+
+
+def missed_pivots(assigned: DataFrame, edges: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    """``(u, v, cos)``: rows and pivots that are similar, of those that an edge between two clusters brings near: either end
+    and the other's pivot, and both pivots, which the search may not have held against each other. Linear in such edges.
+    """
+    left, right = assigned.select(F.col("id").alias("left_id"), F.col("pivot").alias("a")), assigned.select(F.col("id").alias("right_id"), F.col("pivot").alias("b"))
+    across = edges.select("left_id", "right_id").join(left, "left_id").join(right, "right_id").where("a <> b")
+    ends = F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("left_id", "b"), ("right_id", "a"), ("a", "b"))))
+    pairs = across.select(F.explode(ends).alias("e")).select("e.*").distinct()
+    x, y = vectors.select(F.col("id").alias("u"), F.col("vec").alias("x")), vectors.select(F.col("id").alias("v"), F.col("vec").alias("y"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_cosines(floor), LINK)
 
 
 def _held_rows(floor: float):
@@ -317,9 +347,32 @@ def cluster(vectors: DataFrame, floor: float, scratch: Scratch, exact: bool = Tr
         marked = edges.where("lost > 0").select(ends.alias("id")).where("id is not null").distinct()
         lossy = scratch.save(one.join(marked, "id", "left_semi").select("vset", "id", "vec"), "lossy")
     picks = {"smallest": _smallest, "closest": _closest}
-    assigned = pivot_rounds(edges, scratch, lossy, lambda rows, pick: search(bin_rows(rows, index), _linked(floor, picks[pick]), LINK))
+
+    def again(rows: DataFrame, pick: str) -> DataFrame:
+        return search(bin_rows(rows, index), _linked(floor, picks[pick]), LINK)
+
+    def joined(pivots: DataFrame, *more: DataFrame) -> DataFrame:
+        return _joined(every, pivots, [*more, again(_tagged(lossy, pivots), "closest")] if lossy is not None else [*more])
+
+    every = scratch.save(_both(edges), "both")
+    pivots = pivot_rounds(every, scratch, "first", lossy, again)
+    assigned = scratch.save(joined(pivots), "assigned")
+    near = scratch.save(missed_pivots(assigned, edges, one, floor), "missed")
+    if not near.isEmpty():
+        # pivots that turn out to be similar to another one make way by the same rule
+        rivals = scratch.save(near.join(pivots, F.col("u") == F.col("p"), "left_semi").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct(), "rivals")
+        if not rivals.isEmpty():
+            stay = pivot_rounds(rivals, scratch, "rivals")
+            demoted = rivals.select("u").distinct().join(stay, F.col("u") == F.col("p"), "left_anti")
+            pivots = scratch.save(pivots.join(demoted, F.col("p") == F.col("u"), "left_anti"), "pivots")
+        assigned = scratch.save(joined(pivots, near), "assigned-2")
+        # rows whose pivot made way and that no other pivot is similar to choose among themselves
+        free = assigned.where("id = pivot").select("id").join(pivots, F.col("id") == F.col("p"), "left_anti")
+        rest = scratch.save(every.join(free.withColumnRenamed("id", "u"), "u", "left_semi").join(free.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), "rest")
+        if not rest.isEmpty():
+            assigned = scratch.save(joined(pivots.unionAll(pivot_rounds(rest, scratch, "rest")), near), "assigned-3")
     assigned = assigned.unionAll(alone.join(assigned.select("id"), "id", "left_anti"))
-    return scratch.save(assigned, "assigned"), edges, copies, one
+    return scratch.save(assigned, "clusters"), edges, copies, one
 
 
 def _weighed(assigned: DataFrame, copies: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -342,22 +395,21 @@ def clusters(vectors: DataFrame, floor: float, scratch: Scratch, typical: int =
 
 
 def isolated_clusters(vectors: DataFrame, floor: float, least: int, scratch: Scratch) -> DataFrame:
-    """``(representative_id, id)`` of the clusters of ``least`` or more in which every pair reaches ``floor`` and that no
-    found pair links to a row outside; the representative has the highest mean cosine, ties to the smaller id.
+    """``(representative_id, id)`` of the pivots' clusters of ``least`` or more in which every pair reaches ``floor`` and that
+    no found pair links to a row outside; the representative has the highest mean cosine, ties to the smaller id.
 
-    The edges kept link the same rows as all pairs found, so a group has no pair with a row outside. Clusters that a found pair links are held together, so a member that its pivot missed is not lost; all pairs of what
-    results are checked on the exact vectors.
+    The first pivot of such a set is its row of smallest rank, which absorbs all others. The edges kept link the same
+    rows as all pairs found, so a cluster without an edge that leaves it has no found pair with a row outside. All pairs
+    of what results are checked on the exact vectors.
     """
     assigned, edges, copies, one = cluster(vectors, floor, scratch, exact=False)
     left, right = assigned.select(F.col("id").alias("left_id"), F.col("pivot").alias("a")), assigned.select(F.col("id").alias("right_id"), F.col("pivot").alias("b"))
-    between = edges.join(left, "left_id").join(right, "right_id").where("a <> b").select("a", "b").distinct()
-    linked = grid.groups(between, "a", "b", scratch)
-    grouped = assigned.join(linked.withColumnRenamed("member_id", "pivot"), "pivot", "left").select("id", F.coalesce("group_id", "pivot").alias("group_id"))
-    members = scratch.save(_weighed(grouped, copies, one), "members")
-    measured = scratch.save(measure(members, floor, scratch), "measured")
-    best = measured.groupBy("group_id").agg(
-        F.sum("weight").alias("size"), F.bool_and("tight").alias("tight"), F.max_by("id", F.struct(F.round("mean", 9), -F.col("id"))).alias("representative_id")
-    )
-    good = best.where(F.col("tight") & (F.col("size") >= least)).select("group_id", "representative_id")
-    rows = measured.join(good, "group_id").select("representative_id", "id")
+    leaving = edges.select("left_id", "right_id").join(left, "left_id").join(right, "right_id").where("a <> b").select(F.explode(F.array("a", "b")).alias("group_id")).distinct()
+    weighed = _weighed(assigned.withColumnRenamed("pivot", "group_id").join(leaving, "group_id", "left_anti"), copies, one)
+    members = scratch.save(weighed, "members")
+    large = members.groupBy("group_id").agg(F.sum("weight").alias("size")).where(F.col("size") >= least).select("group_id")
+    kept = scratch.save(members.join(large, "group_id", "left_semi"), "kept")
+    measured = scratch.save(measure(kept, floor, scratch), "measured")
+    best = measured.groupBy("group_id").agg(F.bool_and("tight").alias("tight"), F.max_by("id", F.struct(F.round("mean", 9), -F.col("id"))).alias("representative_id"))
+    rows = measured.join(best.where("tight").select("group_id", "representative_id"), "group_id").select("representative_id", "id")
     return rows.unionAll(rows.join(copies, "id").select("representative_id", F.col("member").alias("id")))
