@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from threadloom.session import Scratch
 
-#: Edges that a cell should hold, about.
-CELL = 400_000
-MAX_SIDE = 256
+#: Edges that a cell should hold, about, and blocks of a side, at least.
+CELL, LEAST_SIDE = 400_000, 4
+#: Parts into which the records of one group are dealt when their labels are looked up.
+PARTS = 16
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +65,14 @@ def _round(edges: DataFrame, side: int) -> DataFrame:
     return reports.groupBy("vertex").agg(F.min("root").alias("parent"), F.collect_set("root").alias("roots"))
 
 
+def _relabelled(labels: DataFrame, parent: DataFrame) -> DataFrame:
+    """Labels replaced by their parents. A group may hold a third of all records, so its records are dealt into parts, and each of
+    the parents, of which there are far fewer after the first round, goes to every part."""
+    part = labels.withColumn("part", F.pmod(F.xxhash64("member_id"), F.lit(PARTS)))
+    copies = parent.select(F.col("vertex").alias("group_id"), "parent", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    return part.join(copies, ["group_id", "part"], "left").select("member_id", F.coalesce("parent", "group_id").alias("group_id"))
+
+
 def groups(edges: DataFrame, left: str, right: str, scratch: Scratch, cell: int = CELL) -> DataFrame:
     """``(group_id, member_id)``, one row for each linked vertex; ids must be whole numbers."""
     ends = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
@@ -71,13 +80,13 @@ def groups(edges: DataFrame, left: str, right: str, scratch: Scratch, cell: int
     labels: DataFrame | None = None
     step = 0
     while n := now.count():
-        side = int(min(MAX_SIDE, max(1, np.ceil(np.sqrt(2 * n / cell)))))
+        side = int(max(LEAST_SIDE, np.ceil(np.sqrt(2 * n / cell))))
         found = scratch.save(_round(now, side), f"parents-{step}")
         parent = found.select("vertex", "parent")
         if labels is None:
             new = parent.select(F.col("vertex").alias("member_id"), F.col("parent").alias("group_id"))
         else:
-            new = labels.join(parent, labels["group_id"] == parent["vertex"], "left").select("member_id", F.coalesce("parent", "group_id").alias("group_id"))
+            new = _relabelled(labels, parent)
         labels = scratch.save(new, f"labels-{step}")
         links = found.where(F.size("roots") > 1).select(F.col("parent").alias("a"), F.explode("roots").alias("b")).where("a <> b")
         if step:
