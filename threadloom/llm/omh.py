@@ -3,8 +3,9 @@
 A text is the sequence of its lower-cased words. Its k-mers of words carry the number of their occurrence, so repeats count. For
 each of several hash functions the sketch keeps the ``keep`` k-mers of smallest hash in text order; the hash of that tuple is
 a band. Texts that share a band are candidates: the tuple agrees only if the same k-mers are the smallest and stand in
-the same order, which makes it sensitive to edits. Candidates are aligned word by word inside a band around the diagonal
-of their best offset, and their distinct shingles are counted exactly.
+the same order, which makes it sensitive to edits. Every fourth band looks at first occurrences only, as two texts that repeat the
+same lines a different number of times share few labelled k-mers. The distinct shingles of candidates are counted exactly, and those that
+reach the threshold are aligned word by word inside a band around the diagonal of their best offset.
 
 A band of more than ``HOT`` different texts (boilerplate) is not paired. Its texts are joined exactly by prefix filtering:
 two of them can only reach the threshold if they share one of the rarest shingles of either, which boilerplate is not.
@@ -74,8 +75,8 @@ def kmers(words: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.ndarray, n
 def sketches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, keep: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text numbers, band hashes, marks [texts, bands]) of the texts with at least ``keep`` k-mers.
 
-    A mark is one byte of the smallest k-mer of a band's hash function, whatever follows it: two texts agree in as many
-    marks as they share k-mers, so marks tell hopeless candidates without the texts.
+    A mark is one byte of the smallest distinct k-mer of a band's hash function, whatever follows it: two texts agree in as
+    many marks as they share distinct k-mers, so marks tell hopeless candidates without the texts.
     """
     size = np.bincount(owner) if len(owner) else np.zeros(0, np.int64)
     texts = np.flatnonzero(size >= keep)
@@ -91,6 +92,9 @@ def sketches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, keep: int, b
     nth = np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))
     label = np.empty(len(k), np.uint64)
     label[order] = mix(k + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    again = np.empty(len(k), bool)
+    again[order] = nth > 0
+    repeats = bool(again.any())
     start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     count = np.diff(np.append(start, len(owner)))
     spot = place.astype(np.uint64) & _PLACE
@@ -98,11 +102,16 @@ def sketches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, keep: int, b
     for f in range(bands):
         value = (mix(label * np.uint64(2 * f + 1) + np.uint64(f * 0xA24BAED4963EE407 % (1 << 64))) & ~_PLACE) | spot
         low = np.empty((len(texts), keep), np.uint64)
+        if repeats:
+            once = np.where(again, _FULL, value)
+            marks[:, f] = np.minimum.reduceat(once, start) >> _PLACE_BITS & np.uint64(0xFF)
+            value = once if f % 4 == 3 else value
         for j in range(keep):
             low[:, j] = np.minimum.reduceat(value, start)
             if j < keep - 1:
                 value[value == np.repeat(low[:, j], count)] = _FULL
-        marks[:, f] = low[:, 0] >> _PLACE_BITS & np.uint64(0xFF)
+        if not repeats:
+            marks[:, f] = low[:, 0] >> _PLACE_BITS & np.uint64(0xFF)
         ranked = np.take_along_axis(low, np.argsort(low & _PLACE, axis=1, kind="stable"), 1) >> _PLACE_BITS
         band = np.full(len(texts), f + 1, np.uint64)
         for j in range(keep):
@@ -260,7 +269,26 @@ def _marked_rows(least: int):
     return run
 
 
-def _verify_rows(shingle: int, width: int):
+def in_order(a: list[np.ndarray], b: list[np.ndarray], shift: np.ndarray, width: int, cells: int = 100_000) -> np.ndarray:
+    """``aligned`` for pairs of sequences of any lengths; pairs of about the same length are aligned at once."""
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    found = np.zeros(len(a), np.int64)
+    order = np.argsort(np.maximum(la, lb))
+    s = len(order)
+    while s:  # from the longest, as many as fit
+        first = max(0, s - max(1, cells // max(1, int(max(la[order[s - 1]], lb[order[s - 1]])))))
+        rows = order[first:s]
+        pa_, pb = np.zeros((len(rows), la[rows].max()), np.uint32), np.zeros((len(rows), max(1, lb[rows].max())), np.uint32)
+        for k, r in enumerate(rows):
+            pa_[k, : la[r]], pb[k, : lb[r]] = a[r], b[r]
+        found[rows] = aligned(pa_, pb, la[rows], lb[rows], shift[rows], width)
+        s = first
+    return found
+
+
+def _verify_rows(shingle: int, width: int, threshold: float):
+    """Candidates whose distinct shingles agree to the threshold, aligned."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 400):
@@ -278,18 +306,13 @@ def _verify_rows(shingle: int, width: int):
                     pos = np.minimum(np.searchsorted(v, u), len(v) - 1)
                     both = v[pos] == u
                     jac[i] = both.sum() / (len(u) + len(v) - both.sum())
-                    if both.any():
+                    if jac[i] >= threshold:
                         shift[i] = np.median(place[m:][iv[pos[both]]] - place[iu[both]])
-                la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-                score = np.zeros(n)
-                order = np.argsort(la)
-                for t in range(0, n, 100):
-                    rows = order[t : t + 100]
-                    pa_, pb = np.zeros((len(rows), la[rows].max()), np.uint32), np.zeros((len(rows), lb[rows].max()), np.uint32)
-                    for k, r in enumerate(rows):
-                        pa_[k, : la[r]], pb[k, : lb[r]] = a[r], b[r]
-                    score[rows] = 2 * aligned(pa_, pb, la[rows], lb[rows], shift[rows], width) / (la[rows] + lb[rows])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(jac), pa.array(score)], names=["a", "b", "jaccard", "aligned"])
+                kept = np.flatnonzero(jac >= threshold)
+                a, b = [a[i] for i in kept], [b[i] for i in kept]
+                score = 2 * in_order(a, b, shift[kept], width) / np.array([len(x) + len(y) for x, y in zip(a, b)], float)
+                take = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(jac[kept]), pa.array(score)], names=["a", "b", "jaccard", "aligned"])
 
     return run
 
@@ -320,8 +343,8 @@ def near_duplicates(texts: DataFrame, threshold: float, scratch: Scratch, shingl
     left = words.select(F.col("kind").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("kind").alias("b"), F.col("words").alias("wb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
-    checked = full.mapInArrow(_verify_rows(shingle, band_width), "a long, b long, jaccard double, aligned double")
-    return checked.where(F.col("jaccard") >= threshold), sketch.select("name", "id", "kind").distinct()
+    checked = full.mapInArrow(_verify_rows(shingle, band_width, threshold), "a long, b long, jaccard double, aligned double")
+    return checked, sketch.select("name", "id", "kind").distinct()
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
