@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from threadloom.llm import omh, queries, spans
+from threadloom.llm import omh, queries, spans, split
 from threadloom.llm.bpe import WORDS, token_counts, token_ids, vocabulary
 from threadloom.llm.grid import groups, union_find
 from threadloom.llm.omh import member_pairs, near_duplicates
@@ -54,6 +54,43 @@ def test_packing_prefers_structure():
         pieces("x", 5, 5)
 
 
+def test_the_tree_decides_the_boundary():
+    def by_definition(text, limit):
+        for level in split.LEVELS:
+            edges = [0, *split.cuts(text, level), len(text)]
+            if all(len(text[a:b].strip(" \t\r\n")) <= limit for a, b in zip(edges, edges[1:])):
+                return level
+        return "none"
+
+    rng = random.Random(21)
+    parts = ["a", "b. ", "c! ", "\n", "\n\n", "\r\n", "\r\n\r\n", " ", "# x\n", "## y\n", "```\n", "\n \n", "wordword", "x" * 30, "- i\n", "  - j\n", "| a |\n", "1. z\n", "<h2>q</h2>\n"]
+    for _ in range(600):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 200)))
+        limit = rng.randint(5, 80)
+        if len(s) > limit:
+            assert boundary(s, limit) == split.cut_text(s, limit, rng.randint(0, limit - 1))[1] == by_definition(s, limit)
+
+
+def test_paragraphs_within_the_limit_are_not_cut():
+    text = "\n\n".join("word " * n for n in (1170, 1170, 40, 30, 1190, 20))
+    starts = {0, *split.cuts(text, "paragraph")}
+    got, level = split.cut_text(text, 6000, 300)
+    assert level == "paragraph" and {e for _, e in got[:-1]} <= starts and max(e - s for s, e in got) <= 6000
+
+
+def test_pieces_cross_headings_only_with_whole_sections():
+    text = "".join(f"# {n}\n\n" + "\n\n".join(c * 60 for c in n * k) + "\n\n" for n, k in (("a", 9), ("b", 1), ("c", 1), ("d", 9)))
+    heads = [m.start() for m in re.finditer("# ", text)]
+    got = pieces(text, 300, 0)
+    for s, e in got:
+        inside = [h for h in heads if s < h < e]
+        assert not inside or (s in heads and (e in heads or e == len(text)))
+    assert (heads[1], heads[3]) in got
+    listed = "- one\n" + "  - two words here\n" * 12 + "- three\n" + "  - four\n" * 3
+    assert all(listed[s:e].startswith(("-", "  -")) for s, e in pieces(listed, 60, 0)) and listed.index("- three") in {s for s, _ in pieces(listed, 60, 0)}
+    assert max(e - s for s, e in pieces("".join(" " * i + "- it\n" for i in range(300)), 100, 10)) <= 100
+
+
 def test_split_rows(spark):
     df = spark.createDataFrame([(1, "aaaa bbbb", "x"), (2, None, "y"), (3, "", "z"), (4, "short", "z"), (None, "cccc\ndddd", "q")], "id long, body string, content string")
     got = split_texts(df, "id", "body", 6, 1).collect()
@@ -82,7 +119,7 @@ def test_groups_against_union_find(spark):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "x long, y long")
-    for cell in (40, 10**6):
+    for cell in (40, 10**6):  # many cells in each round, and the least number
         assert {tuple(r) for r in groups(df, "x", "y", Scratch(spark), cell).collect()} == {(find(v), v) for v in list(parent)}
     assert groups(df.limit(0), "x", "y", Scratch(spark)).count() == 0
 
@@ -140,6 +177,15 @@ def test_crowded_bands_are_joined_exactly(spark):
     assert got[0] == got[1] == {("t", i, j) for i in range(30, 42) for j in range(i + 1, 42)}
 
 
+def test_lines_repeated_a_different_number_of_times(spark):
+    rng = random.Random(22)
+    line = " ".join(words(rng, 10))
+    texts = [" ".join([*([line] * n), *body]) for body in (words(rng, 60) for _ in range(12)) for n in (10, 100)]
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "name string, id long, text string")
+    got = {tuple(r) for r in member_pairs(*near_duplicates(df, 0.6, Scratch(spark))).collect()}
+    assert got == {("t", i, i + 1) for i in range(0, 24, 2)}
+
+
 def test_alignment_counts_words_in_order():
     a, b = np.array([[1, 2, 3, 4, 5, 6]]), np.array([[9, 1, 2, 4, 5, 7, 6]])
     got = omh.aligned(a, b, np.array([6]), np.array([7]), np.array([1]), 8)

@@ -145,11 +145,11 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, root: str) -> DataFrame:
-    """Passages of 150 or more matched characters that two documents share up to gaps: one row per chain of exact spans of 100 or more,
-    one for each further document of an equal text, and the class of passages that each row belongs to."""
+    """Passages of 150 or more matched characters that two documents share up to edits: one row per aligned chain of exact spans, with
+    its identity; one for each further document of an equal text, and the class of passages that each row belongs to."""
     tune(spark)
     found = passages(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text", 150, Scratch(spark))
-    names = {"a": "left_id", "b": "right_id", "chain": "chain", "start_a": "left_start", "end_a": "left_end", "start_b": "right_start", "end_b": "right_end", "n_spans": "n_spans", "matched": "matched_chars", "class_id": "class_id"}
+    names = {"a": "left_id", "b": "right_id", "chain": "chain", "start_a": "left_start", "end_a": "left_end", "start_b": "right_start", "end_b": "right_end", "n_spans": "n_spans", "matched": "matched_chars", "identity": "identity", "class_id": "class_id"}
     return found.select(*(F.col(c).alias(n) for c, n in names.items()))
 
 
