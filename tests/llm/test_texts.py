@@ -124,6 +124,13 @@ def test_groups_against_union_find(spark):
     assert groups(df.limit(0), "x", "y", Scratch(spark)).count() == 0
 
 
+def test_hubs_are_relabelled_apart(spark, monkeypatch):
+    monkeypatch.setattr("threadloom.llm.grid.HUB", 20)
+    edges = [(7, i) for i in range(100, 400)] + [(i, i + 1) for i in range(1000, 1030)] + [(5, 100), (-3, 1030)]
+    got = {tuple(r) for r in groups(spark.createDataFrame(edges, "x long, y long"), "x", "y", Scratch(spark), 60).collect()}
+    assert got == {(5, v) for v in [5, 7, *range(100, 400)]} | {(-3, v) for v in [-3, *range(1000, 1031)]}
+
+
 def test_local_union_find():
     vertex, root = union_find(np.array([5, 3, 9]), np.array([3, 1, 9]))
     assert dict(zip(vertex.tolist(), root.tolist())) == {1: 1, 3: 1, 5: 1, 9: 9}
