@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.merge import numbered
 from threadloom.session import Scratch
 
 
@@ -15,26 +18,68 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+#: Edges that one task takes at once.
+LOCAL = 1_000_000
+
+
+def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, roots) of the vertices that are not the smallest of their group."""
+    vertex, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, up = code[: len(u)], code[len(u) :], np.arange(len(vertex))
+    while len(a):
+        x, y = up[a], up[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not ((two := up[up]) == up).all():
+            up = two
+    low = np.flatnonzero(up != np.arange(len(up)))
+    return vertex[low], vertex[up[low]]
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges, at most ``LOCAL`` at a time, as edges from each vertex to the smallest of its group."""
+    us, vs, n = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        u, v = _joined(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        us.append(np.asarray(batch.column(0)))
+        vs.append(np.asarray(batch.column(1)))
+        n += batch.num_rows
+        if n >= LOCAL:
+            yield flush()
+            us, vs, n = [], [], 0
+    if n:
+        yield flush()
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(id, component)`` of every node, the component named by its smallest id; a node without edges is alone.
 
-    Alternating large-star and small-star rounds: every round is an aggregation and a join on the edge list, so a hub's
-    links are never gathered; the number of rounds grows with the logarithm of the graph. ``edges``: ``(left_id, right_id)``.
+    Each partition first joins its own edges, which leaves one edge a vertex. If what is left fits a task, that is
+    all; else alternating large-star and small-star rounds follow: every round is an aggregation and a join on the edge list, so a hub's
+    links are never gathered, and the number of rounds grows with the logarithm of the graph. ``edges``: ``(left_id, right_id)``.
     """
-    now = edges.where("left_id <> right_id").select(F.greatest("left_id", "right_id").alias("u"), F.least("left_id", "right_id").alias("v")).distinct()
-    now = scratch.save(now, "star-0")
-    before, step = None, 0
-    while (state := _state(now)) != before:
-        before = state
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        step += 1
-        now = scratch.save(small.where("u <> v").distinct(), f"star-{step}")
-        if step > 1:
-            scratch.drop(f"star-{step - 2}")
+    ends = edges.where("left_id <> right_id").select(F.greatest("left_id", "right_id").cast("long").alias("u"), F.least("left_id", "right_id").cast("long").alias("v"))
+    now = scratch.save(ends.mapInArrow(_local, "u long, v long"), "star-0")
+    if now.count() <= LOCAL:  # the count is in the files' footers
+        now = now.coalesce(1).mapInArrow(_local, "u long, v long")
+    else:
+        before, step = None, 0
+        while (state := _state(now)) != before:
+            before = state
+            both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+            step += 1
+            now = scratch.save(small.where("u <> v").distinct(), f"star-{step}")
+            if step > 1:
+                scratch.drop(f"star-{step - 2}")
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -148,12 +193,35 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def stratified(s: DataFrame, each: int, seed: int) -> DataFrame:
-    """Largest, middle (30 to 70 percent) and small (3 or fewer) clusters, ``each`` of them by a seeded hash."""
-    rank = F.percent_rank().over(Window.orderBy(F.col("size").desc(), "component"))
-    draw = F.xxhash64(F.lit(seed), "component")
-    place = F.row_number().over(Window.orderBy(F.col("size").desc(), "component"))
-    # percent ranks need one order of all clusters; their sizes alone are ordered, not the members
-    ranked = s.withColumn("share", rank).withColumn("place", place)
-    stratum = F.when(F.col("place") <= each, "large").when(F.col("size") <= 3, "small").when(F.col("share").between(0.3, 0.7), "middle")
-    chosen = F.row_number().over(Window.partitionBy("stratum").orderBy(draw))
-    return ranked.withColumn("stratum", stratum).where("stratum is not null").withColumn("pick", chosen).where(F.col("pick") <= each).select("stratum", "component", "size")
+    """``(stratum, component, size)``: the ``each`` largest clusters, and of the others as many from the middle (30 to 70 percent of
+    the clusters by size) and as many small ones (3 or fewer), drawn by a seeded hash.
+
+    What share of the clusters is larger is taken from the counts of the sizes, so no task orders all clusters.
+    """
+    histogram = s.groupBy("size").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1))  # one row for each size
+    shares = histogram.withColumn("above", F.coalesce(above, F.lit(0))).join(F.broadcast(s.agg(F.count("*").alias("total"))))
+    shares = shares.select("size", (F.col("above") / F.greatest(F.lit(1), F.col("total") - 1)).alias("share"))
+    largest = s.orderBy(F.col("size").desc(), "component").limit(each)
+    rest = s.join(largest.select("component"), "component", "left_anti").join(shares, "size")
+    stratum = F.when(F.col("size") <= 3, "small").when(F.col("share").between(0.3, 0.7), "middle")
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("component").cast("string")))
+    chosen = F.row_number().over(Window.partitionBy("stratum").orderBy(draw, "component"))
+    drawn = rest.withColumn("stratum", stratum).where("stratum is not null").withColumn("pick", chosen).where(F.col("pick") <= each)
+    return largest.select(F.lit("large").alias("stratum"), "component", "size").unionByName(drawn.select("stratum", "component", "size"))
+
+
+def ordered(components: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(component, size, place)``: clusters by size, ties to the one that has the smallest ``number``, then id; places from 1.
+    """
+    per = components.join(nodes.select("id", "number"), "id").groupBy("component").agg(F.count("*").alias("size"), F.min("number").alias("first"))
+    return numbered(per, "place", 0, F.col("size").desc(), F.col("first"), F.col("component")).select("component", "size", "place")
+
+
+def refine_one(components: DataFrame, vectors: DataFrame, nodes: DataFrame, rank: int, k: int, floor: float, scratch: Scratch) -> DataFrame:
+    """``(id, component)`` of the cluster at place ``rank`` by size, clustered again by its own neighbour graph. ``vectors``: ``(id, vec)``."""
+    from threadloom.operators.edges import knn_edges
+
+    chosen = scratch.save(components.join(ordered(components, nodes).where(F.col("place") == rank), "component", "left_semi"), "chosen")
+    scoped = vectors.join(chosen.select("id"), "id", "left_semi").select(F.lit("refined").alias("scope"), "id", "vec")
+    return connected_components(chosen, scratch.save(knn_edges(scoped, k, floor), "refined-edges"), scratch)

@@ -2,66 +2,134 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.config import CLUSTER_K, CLUSTER_MIN_SCORE, Fusion
+from threadloom.functions.vectors import dot
 
 #: Vectors of a block; two blocks meet in one task.
 BLOCK = 2048
 _SCHEMA = "scope string, left_id long, right_id long, score double"
 
 
-def _meet(k: int, floor: float):
-    """The k best partners at ``floor`` or more of every vector of a cell of two blocks."""
+def _matrix(vec: pa.ListArray, n: int) -> np.ndarray:
+    x = np.asarray(vec.flatten(), np.float64)
+    if len(x) % n or (np.asarray(vec.value_lengths()) != len(x) // n).any():
+        raise ValueError("vectors of different lengths in one scope")
+    x = x.reshape(n, -1)
+    size = np.sqrt((x * x).sum(1))
+    return x / np.where(size == 0, 1, size)[:, None]
+
+
+def _best(ids: np.ndarray, others: np.ndarray, s: np.ndarray, k: int | None, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, score) of each row's ``k`` best columns at ``floor`` or more, all if ``k`` is None; ties go to the smaller id, so
+    that ranks do not depend on the blocks."""
+    s[ids[:, None] == others[None, :]] = -2
+    if k is None:
+        i, j = np.nonzero(s >= floor)
+    else:
+        order = np.lexsort((np.broadcast_to(others, s.shape), -np.round(s, 12)), axis=1)[:, :k]
+        i, j = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
+        ok = s[i, j] >= floor
+        i, j = i[ok], j[ok]
+    return ids[i], others[j], s[i, j]
+
+
+def _table(scope: str, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    left, right, score = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64)))
+    return pa.table({"scope": pa.array([scope] * len(left), pa.string()), "left_id": left, "right_id": right, "score": score})
+
+
+def _meet(k: int | None, floor: float):
+    """The best partners of every vector of a cell of two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, block = np.asarray(table.column("id")), np.asarray(table.column("block"))
         row, col = np.asarray(table.column("row")), np.asarray(table.column("col"))
-        vec = table.column("vec").combine_chunks()
-        x = np.asarray(vec.flatten(), np.float64).reshape(len(ids), -1)
-        size = np.sqrt((x * x).sum(1))
-        x = x / np.where(size == 0, 1, size)[:, None]
+        x = _matrix(table.column("vec").combine_chunks(), len(ids))
         a, b = block == row, block == col
-        left, right, score = [], [], []
-        for p, q in ((a, b),) if (row == col).all() else ((a, b), (b, a)):
-            s = x[p] @ x[q].T
-            s[ids[p][:, None] == ids[q][None, :]] = -2
-            kk = min(k, s.shape[1])
-            if not s.size:
-                continue
-            # ties go to the smaller id, so ranks do not depend on the blocks
-            order = np.lexsort((np.broadcast_to(ids[q], s.shape), -np.round(s, 12)), axis=1)[:, :kk]
-            i, j = np.repeat(np.arange(len(s)), kk), order.ravel()
-            ok = s[i, j] >= floor
-            left.append(ids[p][i[ok]])
-            right.append(ids[q][j[ok]])
-            score.append(s[i[ok], j[ok]])
-        cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
-        n = sum(map(len, left))
-        return pa.table({"scope": pa.array([table.column("scope")[0].as_py()] * n, pa.string()), "left_id": cat(left, np.int64), "right_id": cat(right, np.int64), "score": cat(score, np.float64)})
+        sides = ((a, b),) if (row == col).all() else ((a, b), (b, a))
+        return _table(table.column("scope")[0].as_py(), [_best(ids[p], ids[q], x[p] @ x[q].T, k, floor) for p, q in sides if p.any() and q.any()])
+
+    return run
+
+
+def _asked(k: int | None, floor: float):
+    """The best partners of the queries of a cell among its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, asks = np.asarray(table.column("id")), np.asarray(table.column("asks"))
+        x = _matrix(table.column("vec").combine_chunks(), len(ids))
+        p, q = asks == 1, asks == 0
+        return _table(table.column("scope")[0].as_py(), [_best(ids[p], ids[q], x[p] @ x[q].T, k, floor)] if p.any() and q.any() else [])
 
     return run
 
 
+def _placed(vectors: DataFrame, block: int) -> DataFrame:
+    """``(scope, n, id, vec, blocks, block)``: ``n`` is the length of the vector; vectors of different lengths are never compared."""
+    rows = vectors.where(F.col("vec").isNotNull()).select("scope", F.size("vec").alias("n"), F.col("id").cast("long").alias("id"), "vec")
+    counts = rows.groupBy("scope", "n").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    return rows.join(counts, ["scope", "n"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _ranked(found: DataFrame, k: int | None) -> DataFrame:
+    if k is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("scope", "left_id").orderBy(F.round("score", 12).desc(), "right_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest_neighbors(vectors: DataFrame, k: int, floor: float, block: int = BLOCK) -> DataFrame:
-    """``(scope, left_id, right_id, score)``: each vector's k most similar ones of its scope, exactly.
+    """``(scope, left_id, right_id, score, rank)``: each vector's k most similar ones of its scope and length, exactly.
 
-    ``vectors``: ``(scope, id, vec array<double>)``; a scope (a repository and source) holds vectors of one length. A scope is
+    ``vectors``: ``(scope, id, vec array<double>)``; a scope is a repository, or one of its sources. A scope is
     cut into blocks by a hash, and every pair of blocks is one matrix product in one task, so nothing is broadcast and no
     task holds more than two blocks, while the work stays that of the exact backend: quadratic in the scope.
+    Null vectors are left out; a vector of zeros has a cosine of 0 with all.
     """
-    counts = vectors.groupBy("scope").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    placed = vectors.select("scope", F.col("id").cast("long").alias("id"), "vec").join(counts, "scope")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = placed.select("scope", "id", "vec", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = spread.select("scope", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "id", "vec")
-    found = cells.groupBy("scope", "row", "col").applyInArrow(_meet(k, floor), _SCHEMA)
-    rank = F.row_number().over(Window.partitionBy("scope", "left_id").orderBy(F.round("score", 12).desc(), "right_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    placed = _placed(vectors, block)
+    spread = placed.select("scope", "n", "id", "vec", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = spread.select("scope", "n", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"), "block", "id", "vec")
+    return _ranked(cells.groupBy("scope", "n", "row", "col").applyInArrow(_meet(k, floor), _SCHEMA), k)
+
+
+def neighbors_of(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float, block: int = BLOCK) -> DataFrame:
+    """``(scope, left_id, right_id, score)`` for the ``queries`` only: their k most similar vectors of the scope, or all at ``floor``.
+
+    Both sides are ``(scope, id, vec)``. Every block of queries meets every block of vectors once, so the work is that of the queries times the vectors.
+    """
+    asked, stored = _placed(queries, block), _placed(vectors, block)
+    n_asked = asked.groupBy("scope", "n").agg(F.max("blocks").alias("others"))
+    n_stored = stored.groupBy("scope", "n").agg(F.max("blocks").alias("others"))
+
+    def spread(rows: DataFrame, others: DataFrame, asks: int) -> DataFrame:
+        other = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+        copies = rows.join(others, ["scope", "n"]).select("scope", "n", "id", "vec", "block", other.alias("other"))
+        row, col = ("other", "block") if not asks else ("block", "other")
+        return copies.select("scope", "n", F.col(row).alias("row"), F.col(col).alias("col"), F.lit(asks).alias("asks"), "id", "vec")
+
+    cells = spread(asked, n_stored, 1).unionByName(spread(stored, n_asked, 0))
+    return _ranked(cells.groupBy("scope", "n", "row", "col").applyInArrow(_asked(k, floor), _SCHEMA), k)
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = dot, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(id, other_id, score)``: for each of the ``queries`` ``(id, vec)`` its ``k`` best ``vectors`` ``(id, vec)`` of the same length by any
+    scorer, a function of two vector columns; ``keep`` filters scores. The queries are a stated set: the scorer sees each of them with every vector.
+    """
+    q = queries.select("id", F.col("vec").alias("q"), F.size("vec").alias("n"))
+    v = vectors.select(F.col("id").alias("other_id"), F.col("vec").alias("v"), F.size("vec").alias("n"))
+    rows = q.join(v, "n").where("id <> other_id").select("id", "other_id", scorer(F.col("q"), F.col("v")).alias("score"))
+    rows = rows.where(keep(F.col("score"))) if keep else rows.where("score is not null")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("score", 9).desc(), "other_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def canonical(edges: DataFrame, *by: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +38,17 @@ def replace_children(base: DataFrame, incoming: DataFrame, parent: str) -> DataF
     return base.join(incoming.select(parent).distinct(), parent, "left_anti").select(*base.columns).unionByName(incoming.select(*base.columns))
 
 
+def numbered(rows: DataFrame, name: str, after: int, *order: Column | str) -> DataFrame:
+    """``rows`` with a column ``name`` that counts them in order from ``after`` + 1; ``order`` must be total. Rows are counted inside
+    ranges, and the ranges' counts, one row each, are added up, so that no task orders all rows."""
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    starts = F.broadcast(counts.select("__part", before.alias("__before")))
+    return ranged.withColumn("__inside", inside).join(starts, "__part").withColumn(name, (F.lit(after) + F.col("__before") + F.col("__inside")).cast("long")).drop("__part", "__before", "__inside")
+
+
 def overlap_since(reference: Column, crawl: Column) -> Column:
     """Start of an incremental scan: the crawl less the hours since the reference, rounded up, two at least."""
     hours = F.greatest(F.lit(2), F.ceil((F.unix_micros(crawl) - F.unix_micros(reference)) / F.lit(3_600_000_000)))
@@ -84,17 +94,35 @@ def batches(rows: DataFrame, group: str, order: str, tokens: str, most_items: in
 
 
 class SnapshotStore:
-    """Tables as immutable versions with an atomically replaced pointer, for writers on one shared file system."""
+    """Tables as immutable versions with an atomically replaced pointer, on any file system that Spark can write to; one writer a table."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
     def version(self, name: str) -> int | None:
-        try:
-            with open(f"{self.root}/{name}/_CURRENT", encoding="utf-8") as file:
-                return json.load(file)["version"]
-        except FileNotFoundError:
+        path = self._path(f"{name}/_CURRENT")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
             return None
+        stream = files.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["version"]
+        finally:
+            stream.close()
+
+    def _point(self, name: str, number: int) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        staged, current = self._path(f"{name}/_NEXT"), self._path(f"{name}/_CURRENT")
+        files = staged.getFileSystem(conf)
+        out = files.create(staged, True)
+        out.write(bytearray(json.dumps({"version": number}), "utf-8"))
+        out.close()
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(staged), files.makeQualified(current), over)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
@@ -103,10 +131,7 @@ class SnapshotStore:
         """Stage a whole new version, then flip the pointer; readers keep the version that they resolved."""
         number = (self.version(name) or 0) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={number}")
-        staged = f"{self.root}/{name}/_NEXT"
-        with open(staged, "w", encoding="utf-8") as file:
-            json.dump({"version": number}, file)
-        os.replace(staged, f"{self.root}/{name}/_CURRENT")
+        self._point(name, number)
         return number
 
     def merge(self, name: str, incoming: DataFrame, keys: list[str], preserve: list[str] = (), fill: list[str] = ()) -> int:
