@@ -29,6 +29,25 @@ def unit(a: Column) -> Column:
     return F.zip_with(a, F.array_repeat(F.when(size == 0, F.lit(1.0)).otherwise(size), F.size(a)), lambda x, s: x.cast("double") / s)
 
 
+def score_of_distance(distance: Column) -> Column:
+    """The cosine of two vectors of length 1 from their squared distance."""
+    return 1 - distance / 2
+
+
+#: Fixed values of the query sizes.
+LARGE, WIDEN, LEAST_WIDE, PER_ROW, LEAST_CANDIDATES, LEAST_EF = 5000, 4, 24, 16, 512, 1024
+
+
+def query_size(n: int, k: int) -> dict[str, int]:
+    """How many rows a neighbour query over ``n`` vectors asks for, and how many candidates it looks at."""
+    if n < LARGE:
+        candidates = max(PER_ROW * k, 64)
+        return {"limit": k, "candidates": candidates, "ef": max(2 * candidates, LEAST_EF)}
+    limit = min(max(WIDEN * k, LEAST_WIDE), n - 1)
+    candidates = min(max(PER_ROW * limit, LEAST_CANDIDATES), max(limit, n - 1))
+    return {"limit": limit, "candidates": candidates, "ef": max(2 * candidates, LEAST_EF)}
+
+
 def usable(json: Column, dimensions: Column) -> Column:
     """The vector of a JSON array of exactly ``dimensions`` finite numbers that are not all zero; null otherwise."""
     text = F.trim(F.translate(json, "\t\n\r", "   "))

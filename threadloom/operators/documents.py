@@ -46,14 +46,33 @@ def summary_sources(threads: DataFrame, comments: DataFrame, with_comments: bool
 
 
 def vector_tasks(threads: DataFrame, model: str = EMBED_MODEL, dimensions: int = EMBED_DIMENSIONS, basis: str = EMBED_BASIS) -> DataFrame:
-    """``(thread_id, text, estimated_tokens, was_truncated, content_hash)``: what is to be embedded for each thread."""
-    body = squash(F.col("body"))
-    whole = F.concat_ws("\n\n", F.concat(F.lit("title: "), squash(F.col("title"))), F.concat(F.lit("body: "), filled(body)))
-    rows = threads.select(F.col("id").alias("thread_id"), whole.alias("whole")).withColumn("text", truncated(F.col("whole")))
+    """``(thread_id, text, estimated_tokens, was_truncated, content_hash)``: what is to be embedded for each thread.
+
+    The basis ``title_original`` takes title and body; ``title_summary`` takes the title and the column ``summary``, and
+    leaves out threads whose summary is null or blank.
+    """
+    if basis not in ("title_original", "title_summary"):
+        raise ValueError(f"no basis {basis}")
+    title = F.concat(F.lit("title: "), squash(F.col("title")))
+    if basis == "title_summary":
+        threads = threads.where(squash(F.col("summary")) != "")
+        second = F.concat(F.lit("summary: "), squash(F.col("summary")))
+    else:
+        second = F.concat(F.lit("body: "), filled(squash(F.col("body"))))
+    rows = threads.select(F.col("id").alias("thread_id"), F.concat_ws("\n\n", title, second).alias("whole")).withColumn("text", truncated(F.col("whole")))
     prefix = f"embedding:{PIPELINE_VERSION}:{basis}:{model}:{dimensions}\n"
     return rows.select("thread_id", "text", estimated_tokens(F.col("text")).alias("estimated_tokens"), (F.col("text") != F.col("whole")).alias("was_truncated"), F.sha2(F.concat(F.lit(prefix), "text"), 256).alias("content_hash"))
 
 
+def source_tasks(threads: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``(thread_id, source_kind, text, content_hash)``: title, body and dedupe summary of each thread as texts of their own; empty ones are left out."""
+    text = summaries.select(F.col("thread_id").alias("id"), "summary_text")
+    rows = threads.select("id", "title", "body").join(text, "id", "left")
+    parts = F.array(*(F.struct(F.lit(k).alias("source_kind"), squash(F.col(c)).alias("text")) for k, c in (("title", "title"), ("body", "body"), ("dedupe_summary", "summary_text"))))
+    out = rows.select(F.col("id").alias("thread_id"), F.explode(parts).alias("p")).select("thread_id", "p.*").where("text <> ''").withColumn("text", truncated(F.col("text")))
+    return out.withColumn("content_hash", F.sha2(F.concat(F.lit("embedding:"), "source_kind", F.lit("\n"), "text"), 256))
+
+
 def pending(tasks: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """Tasks without a stored row of the same content hash."""
     known = stored.select(*key, F.col("content_hash").alias("stored_hash"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_OPEN: ContextVar[list[Scratch] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is written to scratch inside is dropped at the end, so a long-running service does not fill the disk."""
+    mine: list[Scratch] = []
+    token = _OPEN.set(mine)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for scratch in mine:
+            scratch.clear()
+            atexit.unregister(scratch.clear)
+
+
 class Scratch:
     """Tables written into the shared folder, so that a lost executor costs no recomputation of what came before.
 
-    The tables are dropped by name, or all together when the driver's Python ends.
+    The tables are dropped by name, at the end of the ``scope`` around them unless they are to be kept, or all together
+    when the driver's Python ends.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, keep: bool = False) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/threadloom-{uuid.uuid4().hex}"
         atexit.register(self.clear)
+        if not keep and (mine := _OPEN.get()) is not None:
+            mine.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""

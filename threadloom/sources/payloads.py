@@ -11,6 +11,14 @@ ISSUE = f"id long, number long, state string, title string, body string, html_ur
 COMMENT = f"id long, body string, state string, user {_USER}, created_at string, updated_at string, submitted_at string"
 
 
+def repository_rows(spark: SparkSession, path: str, pulled_at: str) -> DataFrame:
+    """Columns of ``repositories`` from their payloads; a payload without an owner or a name is left out."""
+    rows = spark.read.schema("id long, name string, full_name string, owner struct<login:string>, _raw string").option("columnNameOfCorruptRecord", "_raw").json(path)
+    rows = rows.where("owner.login is not null and name is not null")
+    full = F.coalesce("full_name", F.concat("owner.login", F.lit("/"), "name"))
+    return rows.select(F.col("owner.login").alias("owner"), "name", full.alias("full_name"), F.col("id").cast("string").alias("github_repo_id"), F.lit(pulled_at).alias("updated_at"))
+
+
 def issues(spark: SparkSession, path: str, state: str | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
     """A listing, newest first; ``since`` and ``state`` are filters of the scan, ``limit`` takes the newest."""
     rows = spark.read.schema(ISSUE).json(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -13,6 +14,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+class Source(Protocol):
+    """A client of the place that threads come from: pages of payloads as JSON lines in a folder, and single lookups."""
+
+    def repository(self, owner: str, name: str) -> dict: ...
+
+    def write_listing(self, folder: str, state: str, since: str | None) -> None: ...
+
+    def lookup(self, number: int) -> dict | None: ...
+
+
+class VectorStore(Protocol):
+    """A store of vectors that answers neighbour queries; the exact one works on tables alone."""
+
+    def upsert(self, rows: DataFrame) -> None: ...
+
+    def remove(self, ids: DataFrame) -> None: ...
+
+    def query(self, queries: DataFrame, k: int, floor: float) -> DataFrame: ...
+
+
 class Provider(Protocol):
     def embed(self, texts: list[str], dimensions: int) -> list[list[float]]: ...
 
@@ -20,7 +41,33 @@ class Provider(Protocol):
 
 
 class Transient(Exception):
-    """A failure that another attempt may not have."""
+    """A failure that another attempt may not have; ``wait`` is the time in seconds that the source asks for."""
+
+    def __init__(self, message: str = "", wait: float | None = None) -> None:
+        super().__init__(message)
+        self.wait = wait
+
+
+class TooLong(Exception):
+    """A refusal of a text for its length; the message may give numbers."""
+
+
+#: Answers that another attempt won't change.
+FINAL = (400, 401, 403, 404, 422)
+
+
+def failure(status: int, headers: dict[str, str], now: float) -> Exception:
+    """The exception for an HTTP status: final ones, and all others with the wait that a rate limit asks for.
+
+    A 403 or 429 with a ``retry-after``, or with no requests remaining until ``x-ratelimit-reset``, is a rate limit and no final answer.
+    """
+    low = {k.lower(): v for k, v in headers.items()}
+    if status in (403, 429):
+        if "retry-after" in low:
+            return Transient(f"status {status}", float(low["retry-after"]))
+        if low.get("x-ratelimit-remaining") == "0" and "x-ratelimit-reset" in low:
+            return Transient(f"status {status}", max(0.0, float(low["x-ratelimit-reset"]) - now))
+    return ValueError(f"status {status}") if status in FINAL else Transient(f"status {status}")
 
 
 class HashingProvider:
@@ -45,15 +92,49 @@ def attempt(call: Callable[[], list], tries: int = 5, wait: float = 1.0, sleep:
     for n in range(tries):
         try:
             return call()
-        except Transient:
+        except Transient as e:
             if n == tries - 1:
                 raise
-            sleep(wait * 2**n)
+            sleep(wait * 2**n if e.wait is None else e.wait)
     return []
 
 
+#: Tokens that a summary may take in each of its attempts.
+SUMMARY_TOKENS = (500, 900, 1400)
+SUMMARY_FIELDS = ("problem_summary", "solution_summary", "maintainer_signal_summary", "dedupe_summary")
+
+
+def parsed_summary(text: str) -> dict[str, str]:
+    """The four fields of a JSON answer; a ValueError if one is missing or no text."""
+    found = json.loads(text)
+    if not isinstance(found, dict) or any(not isinstance(found.get(f), str) for f in SUMMARY_FIELDS):
+        raise ValueError("a summary lacks a field")
+    return {f: found[f] for f in SUMMARY_FIELDS}
+
+
+def summary_ladder(ask: Callable[[str, int], tuple[str, dict[str, int]]], text: str) -> tuple[dict[str, str], dict[str, int]]:
+    """(fields, usage) of the first answer that can be read, with more room in each attempt; usage of all attempts is added up.
+
+    ``ask(text, tokens)`` gives the answer's JSON and its usage. The last attempt's failure is raised.
+    """
+    usage: dict[str, int] = {}
+    for n, tokens in enumerate(SUMMARY_TOKENS):
+        answer, used = ask(text, tokens)
+        for k, v in used.items():
+            usage[k] = usage.get(k, 0) + v
+        try:
+            return parsed_summary(answer), usage
+        except ValueError:
+            if n == len(SUMMARY_TOKENS) - 1:
+                raise
+    return {}, usage
+
+
 def shrunk(text: str, message: str, marker: str = "\n\n[truncated for embedding]", least: int = 256) -> str | None:
-    """A shorter text after a refusal for length, by the numbers that the message gives; None when it can't shrink further."""
+    """A shorter text after a refusal for length, by the numbers that the message gives; None when it can't shrink further.
+
+    Fixed values: the patterns of the messages, and the bounds 0.1, 0.9 and 0.95 of the share that is kept.
+    """
     body = text.removesuffix(marker)
     if len(body) <= least:
         return None
@@ -63,6 +144,25 @@ def shrunk(text: str, message: str, marker: str = "\n\n[truncated for embedding]
     return body[: max(least, int(len(body) * ratio))].rstrip() + marker
 
 
+def embedded(provider: Provider, texts: list[str], dimensions: int, tries: int = 5) -> list[list[float]]:
+    """Vectors of one request. If a batch is refused for length, its texts go one by one, each shortened until it is accepted, ``tries`` times at most."""
+    try:
+        return attempt(lambda: provider.embed(texts, dimensions))
+    except TooLong:
+        if len(texts) > 1:
+            return [embedded(provider, [t], dimensions, tries)[0] for t in texts]
+    text = texts[0]
+    for n in range(tries):
+        try:
+            return attempt(lambda t=text: provider.embed([t], dimensions))
+        except TooLong as e:
+            shorter = shrunk(text, str(e))
+            if shorter is None or n == tries - 1:
+                raise
+            text = shorter
+    return []
+
+
 def embed_texts(tasks: DataFrame, provider: Provider, dimensions: int, batch: int = 8) -> DataFrame:
     """``(thread_id, content_hash, vector)`` of ``(thread_id, text, content_hash)``: one provider call per ``batch`` texts."""
 
@@ -70,7 +170,7 @@ def embed_texts(tasks: DataFrame, provider: Provider, dimensions: int, batch: in
         for part in parts:
             texts, found = part.column(1).to_pylist(), []
             for s in range(0, len(texts), batch):
-                found += attempt(lambda s=s: provider.embed(texts[s : s + batch], dimensions))
+                found += embedded(provider, texts[s : s + batch], dimensions)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.float32()))], names=["thread_id", "content_hash", "vector"])
 
     return tasks.select("thread_id", "text", "content_hash").mapInArrow(run, "thread_id long, content_hash string, vector array<float>")
