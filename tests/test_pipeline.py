@@ -149,3 +149,60 @@ def test_http(spark, tmp_path):
             get(path)
         assert e.value.code == code
     server.shutdown()
+
+
+def test_repositories_are_kept_apart(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    pipe = Pipeline(spark, store, basis="title_summary")
+    comment = "id long, thread_id long, github_id string, comment_type string, body string, author_login string, author_type string, is_bot int, created_at_gh string, updated_at_gh string"
+    for repo in (1, 2):
+        rows = payloads.thread_rows(payloads.issues(spark, listing(tmp_path, f"r{repo}", [issue(7, "cache fails badly"), issue(8, "cache fails badly")])), repo, NOW)
+        done = pipe.refresh(repo, NOW, payload=rows, provider=HashingProvider(), dimensions=16)
+        assert done["summarize"] == done["embed"] == 2 and pipe.current(repo, 16) == (True, True)
+    assert {(r.repo_id, r.member_count) for r in store.read("clusters").collect()} == {(1, 2), (2, 2)} and store.read("clusters").select("id").distinct().count() == 2
+    first = rows.limit(1)
+    mine = {r.number: r.id for r in store.read("threads").where("repo_id = 2").collect()}
+    hashes = {r.id: r.content_hash for r in store.read("threads").collect()}
+    pipe.sync(first, spark.createDataFrame([(1, mine[first.first().number], "g", "issue", "words", "a", "User", 0, "1", None)], comment), 2, NOW)
+    after = {r.id: r.content_hash for r in store.read("threads").collect()}
+    assert {i for i in after if after[i] != hashes[i]} == {mine[first.first().number]} and pipe.comments().count() == 1
+    pipe.sync(first, pipe.comments().limit(0), 2, NOW)
+    assert pipe.comments().count() == 0 and {r.id: r.content_hash for r in store.read("threads").collect()} == hashes
+    assert store.read("cursors").where("repo_id = 2").first().last_full_open_scan_started_at == NOW
+    gone = pipe.reconcile_all(spark.createDataFrame([], "repo_id long, number long, state string, closed_at_gh string, updated_at_gh string, error string"), 1, "2027", NOW)
+    assert gone == 2 and {(r.repo_id, r.close_reason_local) for r in store.read("clusters").collect()} == {(1, "all_members_closed"), (2, None)}
+    pipe.reset_vectors(1)
+    assert pipe.current(1, 16) == (False, False) and store.read("thread_vectors").count() == 2 and pipe.purge_comments(2, NOW) == 0
+    assert pipe.rerun("cluster", 2, NOW)["stage"] == "cluster" and pipe.doctor()["ok"]
+    with pytest.raises(LookupError):
+        pipe.close_cluster(99, NOW)
+    runs = store.read("runs").groupBy("id").agg(F.max_by("status", F.when(F.col("status") == "running", 0).otherwise(1)).alias("s")).collect()
+    assert {r.s for r in runs} == {"completed"}
+    with pytest.raises(ValueError, match="no basis"):
+        Pipeline(spark, store, basis="x").embed(HashingProvider(), 16, 1, NOW)
+    assert store.read("runs").where("status = 'failed'").count() == 1
+
+
+def test_http_views_and_actions(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    pipe = Pipeline(spark, store)
+    pipe.refresh(1, NOW, payload=payloads.thread_rows(payloads.issues(spark, listing(tmp_path, "a", [issue(1, "x")])), 1, NOW), provider=HashingProvider(), dimensions=8)
+    server = ThreadingHTTPServer(("127.0.0.1", 0), cli.handler(spark, "/root/testdata/sf0.001", pipe))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    get = lambda p: json.loads(urllib.request.urlopen(base + p).read())
+    post = lambda p, b: json.loads(urllib.request.urlopen(urllib.request.Request(base + p, json.dumps(b).encode(), method="POST")).read())
+    assert post("/actions/close-thread", {"repo_id": 1, "number": 1, "now": NOW}) == {"ok": True, "cluster_closed": True}
+    assert post("/actions/close-cluster", {"cluster_id": 1})["ok"] and "run" in post("/actions/rerun", {"stage": "cluster", "repo_id": 1})["message"]
+    for path, body, code in (("/actions/none", {}, 404), ("/actions/close-thread", {"repo_id": 1, "number": 9}, 404), ("/actions/close-thread", {}, 400), ("/actions/rerun", {"stage": "x", "repo_id": 1}, 400), ("/actions/refresh", [], 400)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            post(path, body)
+        assert e.value.code == code
+    if cli.os.path.isdir("/root/testdata/sf0.001"):
+        assert [t["number"] for t in get("/threads?numbers=3,1,3,-2,x&repo_id=1&include_closed=true")][:1] == [3]
+        assert get("/threads?numbers=0") == [] and get("/search?text=nothingatall") == []
+    for path, code in (("/threads?kind=x", 400), ("/search", 400), ("/threads?nope=1", 400), ("/cluster?component=-5", 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            get(path)
+        assert e.value.code == code
+    server.shutdown()

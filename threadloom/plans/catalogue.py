@@ -49,8 +49,8 @@ rep AS (SELECT component, arg_min(id, {'d': -coalesce(degree, 0), 'n': number, '
 """
 
 
-def query(oracle: str | None = None, reach: bool = False):
-    """Register a query under its function's name, with the end of its SQL (after the shared tables)."""
+def query(oracle: str | None = None, reach: bool = False, also: str = ""):
+    """Register a query under its function's name, with the end of its SQL (after the shared tables and those of ``also``)."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, root: str) -> DataFrame:
@@ -59,7 +59,7 @@ def query(oracle: str | None = None, reach: bool = False):
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if oracle:
-            ORACLES[f.__name__] = _BASE + (_REACH if reach else "") + "fin AS (SELECT 1) " + oracle
+            ORACLES[f.__name__] = _BASE + (_REACH if reach else "") + also + "fin AS (SELECT 1) " + oracle
         return run
 
     return add
@@ -196,16 +196,6 @@ def cursor_backfill(spark, root):
     return merge.newest_values(model.threads(spark, root), "repo_id", "updated_at", ["first_pulled_at", "last_pulled_at", "closed_at_gh"])
 
 
-@query("""SELECT s.id, s.number, coalesce(p.closed_at_gh, '2026-11-01T00:00:00.000Z') AS closed_at_gh FROM (SELECT * FROM opn WHERE last_pulled_at IS NULL OR last_pulled_at < '2025-06-01T00:00:00.000Z') s
-    JOIN (SELECT repo_id, number, max(closed_at_gh) AS closed_at_gh FROM th WHERE state = 'closed' GROUP BY ALL) p USING (repo_id, number)""")
-def closed_sweep_merge(spark, root):
-    """Stale open threads that a listing of closed ones has under the same number."""
-    ts = model.threads(spark, root)
-    listing = ts.where("state = 'closed'").groupBy("repo_id", "number").agg(F.max("closed_at_gh").alias("closed"))
-    hit = merge.stale_open(ts, "2025-06-01T00:00:00.000Z").join(listing, ["repo_id", "number"])
-    return hit.select("id", "number", F.coalesce("closed", F.lit("2026-11-01T00:00:00.000Z")).alias("closed_at_gh"))
-
-
 # documents
 
 _RAW = "concat_ws(chr(10) || chr(10), nullif(t, ''), nullif(b, ''), 'labels: ' || nullif(l, ''), r)"
@@ -267,7 +257,7 @@ def pending_vectors(spark, root):
 
 @query("""SELECT th.id AS thread_id, k.source AS source FROM th, (SELECT unnest(['title', 'body', 'dedupe_summary']) AS source) k LEFT JOIN (SELECT thread_id, source_kind, content_hash AS h FROM document_embeddings WHERE model = 'trellis-embed-l' AND thread_id IS NOT NULL AND source_kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_kind, thread_id ORDER BY updated_at DESC NULLS LAST, content_hash DESC NULLS LAST) = 1) s
     ON s.thread_id = th.id AND s.source_kind = k.source WHERE th.state = 'open' AND h IS NULL""")
-def pending_summaries(spark, root):
+def pendingsummaries(spark, root):
     """Source texts of open threads that have no embedding."""
     from threadloom.operators.latest import latest
 
@@ -276,7 +266,13 @@ def pending_summaries(spark, root):
     return tasks.join(stored.where("content_hash is not null").select("source", "thread_id"), ["source", "thread_id"], "left_anti").select("thread_id", "source")
 
 
-@query()
+@query("SELECT repo_id, thread_id, estimated_tokens, batch FROM fold", also=f"""
+tk AS (SELECT th.repo_id, x.id AS thread_id, greatest(1, CAST(ceil(length(x.x) / 3.0) AS BIGINT)) AS estimated_tokens, row_number() OVER (PARTITION BY th.repo_id ORDER BY x.id) AS rn FROM {_TASK} x JOIN th ON th.id = x.id),
+fold AS (SELECT repo_id, thread_id, estimated_tokens, rn, 1 AS n, estimated_tokens AS total, 0 AS batch FROM tk WHERE rn = 1
+    UNION ALL SELECT tk.repo_id, tk.thread_id, tk.estimated_tokens, tk.rn, CASE WHEN f.n >= 8 OR f.total + tk.estimated_tokens > 250000 THEN 1 ELSE f.n + 1 END,
+        CASE WHEN f.n >= 8 OR f.total + tk.estimated_tokens > 250000 THEN tk.estimated_tokens ELSE f.total + tk.estimated_tokens END, CASE WHEN f.n >= 8 OR f.total + tk.estimated_tokens > 250000 THEN f.batch + 1 ELSE f.batch END
+    FROM fold f JOIN tk ON tk.repo_id = f.repo_id AND tk.rn = f.rn + 1),
+""")
 def batch_chunks(spark, root):
     """Embedding requests: batches of tasks by count and tokens, in order of the thread."""
     ts = model.threads(spark, root)
@@ -318,36 +314,37 @@ def edges_canonical_max(spark, root):
     FROM opn q JOIN vec vq ON vq.id = q.id JOIN opn b ON b.repo_id = q.repo_id AND b.id <> q.id JOIN vec vb ON vb.id = b.id AND len(vb.v) = len(vq.v) WHERE q.id % 50 = 0 AND list_cosine_similarity(vq.v, vb.v) >= 0.2) WHERE place <= 10""")
 def neighbors_of_thread(spark, root):
     """The 10 nearest open threads of the repository, for every thread whose id is divisible by 50."""
-    near = edges.nearest_neighbors(model.scoped(model.vectors(spark, root), model.threads(spark, root)), 10, 0.2).where("left_id % 50 = 0")
+    rows = model.scoped(model.vectors(spark, root), model.threads(spark, root))
+    near = edges.neighbors_of(rows.where("id % 50 = 0"), rows, 10, 0.2)
     place = F.row_number().over(Window.partitionBy("left_id").orderBy(F.round("score", 9).desc(), "right_id"))
     return near.select(F.col("left_id").alias("thread_id"), F.col("right_id").alias("neighbor_id"), F.round("score", 6).alias("score"), place.cast("long").alias("place"))
 
 
 _SRC = """(SELECT a.repo_id AS repo_id, va.source AS source, a.id AS left_id, b.id AS right_id, list_cosine_similarity(va.v, vb.v) AS score FROM opn a JOIN svec va ON va.id = a.id JOIN opn b ON b.repo_id = a.repo_id AND b.id <> a.id JOIN svec vb ON vb.id = b.id AND vb.source = va.source AND len(va.v) = len(vb.v))"""
-_SKNN = f"(SELECT * FROM {_SRC} WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY source, left_id ORDER BY round(score, 12) DESC, right_id) <= 6)"
+_SKNN = f"(SELECT * FROM {_SRC} WHERE score >= -0.3 QUALIFY row_number() OVER (PARTITION BY source, left_id ORDER BY round(score, 12) DESC, right_id) <= 25)"
 _PER = f"(SELECT least(left_id, right_id) AS left_id, greatest(left_id, right_id) AS right_id, source, max(score) AS score, CASE source WHEN 'dedupe_summary' THEN 0.5 WHEN 'title' THEN 0.3 WHEN 'body' THEN 0.2 ELSE 0.1 END AS w FROM {_SKNN} GROUP BY 1, 2, 3)"
 
 
 def _source_edges(spark, root):
     scope = model.scoped(model.source_vectors(spark, root), model.threads(spark, root), "source")
-    return edges.nearest_neighbors(scope, 6, 0.5).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), F.substring_index("scope", "/", -1).alias("source"), "score")
+    return edges.nearest_neighbors(scope, 25, -0.3).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), F.substring_index("scope", "/", -1).alias("source"), "score")
 
 
 @query(f"SELECT left_id AS thread_id, right_id AS neighbor_id, round(max(score), 6) AS score FROM {_SRC} WHERE left_id % 50 = 0 AND score >= 0.2 GROUP BY 1, 2")
 def neighbors_multi_source_max(spark, root):
     """Similar threads over all source kinds, by the best kind, for every thread whose id is divisible by 50."""
     scope = model.scoped(model.source_vectors(spark, root), model.threads(spark, root), "source")
-    near = edges.nearest_neighbors(scope, 1_000_000, 0.2).where("left_id % 50 = 0")
+    near = edges.neighbors_of(scope.where("id % 50 = 0"), scope, None, 0.2)
     return near.groupBy(F.col("left_id").alias("thread_id"), F.col("right_id").alias("neighbor_id")).agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def _fusion(name: str, mode: str, score: str) -> None:
-    sql = f"SELECT left_id, right_id, round(s, 6) AS score, sources FROM (SELECT left_id, right_id, {score} AS s, string_agg(source, ',' ORDER BY source) AS sources FROM {_PER} GROUP BY 1, 2) WHERE s >= 0.5"
+    sql = f"SELECT left_id, right_id, round(s, 6) AS score, sources FROM (SELECT left_id, right_id, {score} AS s, string_agg(source, ',' ORDER BY source) AS sources FROM {_PER} GROUP BY 1, 2) WHERE s >= 0.0"
 
     def run(spark, root):
-        return edges.fuse(_source_edges(spark, root), 0.5, Fusion(mode)).withColumn("score", F.round("score", 6))
+        return edges.fuse(_source_edges(spark, root), 0.0, Fusion(mode)).withColumn("score", F.round("score", 6))
 
-    run.__name__, run.__doc__ = name, f"Edges of three sources, fused by {mode}."
+    run.__name__, run.__doc__ = name, f"Edges of three sources, each thread's 25 nearest of each, fused by {mode}: sources agree on few pairs, so the floors are low."
     query(sql)(run)
 
 
@@ -415,7 +412,7 @@ def list_clusters(spark, root):
     return stored.join(ts, "rep", "left").select("cluster_id", "repo_id", "member_count", "representative_number", "display_title", closed.alias("is_closed")).orderBy(F.col("member_count").desc_nulls_last(), "cluster_id")
 
 
-def _clustered(spark, root, latest_only: bool = True):
+def clustered(spark, root, latest_only: bool = True):
     ts = model.threads(spark, root)
     scratch = Scratch(spark)
     eg = scratch.save(model.stored_edges(spark, root, latest_only), "edges")
@@ -424,18 +421,18 @@ def _clustered(spark, root, latest_only: bool = True):
 
 @query("SELECT id, component FROM comp", reach=True)
 def connected_components(spark, root):
-    return _clustered(spark, root)[2]
+    return clustered(spark, root)[2]
 
 
 @query("SELECT * FROM rep", reach=True)
 def cluster_representative(spark, root):
-    ts, eg, comp = _clustered(spark, root)
+    ts, eg, comp = clustered(spark, root)
     return clustering.representatives(comp, eg, ts.select("id", "number"))
 
 
 @query("SELECT component, comp.id AS id, eg.score AS score_to_representative FROM comp JOIN rep USING (component) LEFT JOIN eg ON eg.left_id = least(comp.id, representative_id) AND eg.right_id = greatest(comp.id, representative_id)", reach=True)
 def cluster_members_score(spark, root):
-    ts, eg, comp = _clustered(spark, root)
+    ts, eg, comp = clustered(spark, root)
     return clustering.member_scores(comp, clustering.representatives(comp, eg, ts.select("id", "number")), eg)
 
 
@@ -443,34 +440,38 @@ _SUMMARY = """SELECT r.component, r.representative_id, t.title AS display_title,
     (SELECT component, count(*) AS total, count(*) FILTER (WHERE kind = 'issue') AS issues, count(*) FILTER (WHERE kind = 'pull_request') AS pull_requests, max(coalesce(updated_at_gh, updated_at)) AS latest, bool_and(state <> 'open' OR closed_at_local IS NOT NULL) AS is_closed, string_agg(lower(title), ' ') AS words FROM comp JOIN th USING (id) GROUP BY 1) s USING (component)"""
 
 
-def _summaries(spark, root):
-    ts, eg, comp = _clustered(spark, root)
+def summaries(spark, root, text: str = "cache", repo_id: int | None = None):
+    """Each cluster's representative, counts, time and close state; ``found`` says that a member's title has the text."""
+    ts, eg, comp = clustered(spark, root)
+    if repo_id is not None:
+        ts = ts.where(F.col("repo_id") == repo_id)
+        comp = comp.join(ts.select("id"), "id", "left_semi")
     reps = clustering.representatives(comp, eg, ts.select("id", "number"))
     kind = lambda k: F.count_if(F.col("kind") == k)
     stats = comp.join(ts, "id").groupBy("component").agg(
         F.count("*").alias("total"), kind("issue").alias("issues"), kind("pull_request").alias("pull_requests"), F.max(F.coalesce("updated_at_gh", "updated_at")).alias("latest"),
-        F.bool_and(model.is_closed()).alias("is_closed"), F.bool_or(F.lower("title").contains("cache")).alias("found"),
+        F.bool_and(model.is_closed()).alias("is_closed"), F.bool_or(F.lower("title").contains(text)).alias("found"),
     )
     titled = reps.join(ts.select(F.col("id").alias("representative_id"), F.col("title").alias("display_title")), "representative_id")
     return titled.join(stats, "component").select("component", "representative_id", "display_title", "total", "issues", "pull_requests", "latest", "is_closed", "found")
 
 
 @query(_SUMMARY, reach=True)
-def cluster_summaries(spark, root):
-    return _summaries(spark, root).drop("found").orderBy(F.col("total").desc(), "component")
+def clustersummaries(spark, root):
+    return summaries(spark, root).drop("found").orderBy(F.col("total").desc(), "component")
 
 
 @query(_SUMMARY + " WHERE contains(words, 'cache')", reach=True)
 def cluster_summaries_search(spark, root):
     """Clusters with a member whose title has the text."""
-    return _summaries(spark, root).where("found").drop("found")
+    return summaries(spark, root).where("found").drop("found")
 
 
 @query("""SELECT component, id, number, kind, place, nullif(CASE WHEN length(b) <= 280 THEN b ELSE regexp_replace(substr(b, 1, 279), '[ ]+$', '') || chr(8230) END, '') AS body_snippet FROM
     (SELECT component, id, number, kind, row_number() OVER (PARTITION BY component ORDER BY CASE WHEN kind = 'issue' THEN 0 ELSE 1 END, coalesce(updated_at_gh, updated_at) DESC NULLS LAST, number DESC, id) AS place FROM comp JOIN rep USING (component) JOIN th USING (id) WHERE size > 1) JOIN sq USING (id)""", reach=True)
 def cluster_detail(spark, root):
     """Members of the shared clusters: issues first, then the most recent."""
-    ts, _, comp = _clustered(spark, root)
+    ts, _, comp = clustered(spark, root)
     shared = clustering.sizes(comp).where("size > 1").select("component")
     order = Window.partitionBy("component").orderBy(F.when(F.col("kind") == "issue", 0).otherwise(1), F.coalesce("updated_at_gh", "updated_at").desc_nulls_last(), F.col("number").desc(), "id")
     rows = comp.join(shared, "component", "left_semi").join(ts, "id")
@@ -483,7 +484,7 @@ def cluster_close_state(spark, root):
     """Close reason of every stored cluster after a look at the members of its representative's component."""
     from threadloom.operators.latest import latest
 
-    ts, _, comp = _clustered(spark, root)
+    ts, _, comp = clustered(spark, root)
     closed = comp.join(ts, "id").groupBy("component").agg(F.bool_and(model.is_closed()).alias("all_closed"))
     stored = latest(table(spark, root, "clusters"), ["id"], "created_at", "member_count")
     rows = stored.select(F.col("id").alias("cluster_id"), F.col("representative_thread_id").alias("id"), F.col("close_reason_local").alias("before")).join(comp, "id").join(closed, "component")
@@ -493,39 +494,49 @@ def cluster_close_state(spark, root):
 
 @query("SELECT size, count(*) AS n_clusters FROM rep GROUP BY 1", reach=True)
 def cluster_size_histogram(spark, root):
-    return clustering.sizes(_clustered(spark, root)[2]).groupBy("size").agg(F.count("*").alias("n_clusters"))
+    return clustering.sizes(clustered(spark, root)[2]).groupBy("size").agg(F.count("*").alias("n_clusters"))
 
 
 @query("""SELECT CAST(sum(size) AS BIGINT) AS threads, count(*) AS clusters, count(*) FILTER (WHERE size = 1) AS solo, count(*) FILTER (WHERE size > 1) AS multi, max(size) AS max_size, round((sum(size) - count(*) FILTER (WHERE size = 1)) * 100 / sum(size), 2) AS multi_member_pct,
     round(count(*) FILTER (WHERE size = 1) * 100 / count(*), 2) AS solo_pct, round(avg(size) FILTER (WHERE size > 1), 2) AS avg_multi_size, (count(*) FILTER (WHERE size = 1) * 100 / count(*) >= 95 OR max(size) > 500 OR count(*) FILTER (WHERE size > 1) < 5) AS degenerate FROM rep""", reach=True)
 def cluster_quality_metrics(spark, root):
-    return clustering.quality(_clustered(spark, root)[2])
+    return clustering.quality(clustered(spark, root)[2])
 
 
-@query()
+_ALL = """
+abw AS (SELECT left_id AS id, right_id AS other_id FROM allg UNION ALL SELECT right_id, left_id FROM allg),
+areach(id, r) AS (SELECT id, id FROM th UNION SELECT abw.other_id, areach.r FROM areach JOIN abw ON abw.id = areach.id),
+acomp AS (SELECT th.id, min(r) AS component FROM th JOIN areach USING (id) GROUP BY 1),
+"""
+
+
+@query("""SELECT a, a_size, b, shared, b_size FROM (SELECT x.component AS a, y.component AS b, count(*) AS shared, s.n AS a_size, t.n AS b_size FROM comp x JOIN acomp y USING (id) JOIN (SELECT component, count(*) AS n FROM comp GROUP BY 1) s ON s.component = x.component JOIN (SELECT component, count(*) AS n FROM acomp GROUP BY 1) t ON t.component = y.component GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b_size DESC, b) = 1""", reach=True, also=_ALL)
 def clustering_overlap(spark, root):
     """Clusters of the latest runs against those of all runs together."""
-    now = _clustered(spark, root)[2]
-    return clustering.overlap(now, _clustered(spark, root, False)[2])
+    now = clustered(spark, root)[2]
+    return clustering.overlap(now, clustered(spark, root, False)[2])
 
 
 @query()
 def bounded_clusters(spark, root):
     """Clusters of at most 5 members, strongest edges first."""
-    ts, eg, comp = _clustered(spark, root, False)
+    ts, eg, comp = clustered(spark, root, False)
     return clustering.resize(comp, eg, "bounded", 5, 0.02)
 
 
 @query()
 def refined_clusters(spark, root):
     """Clusters above 5 members taken apart at rising thresholds."""
-    ts, eg, comp = _clustered(spark, root, False)
+    ts, eg, comp = clustered(spark, root, False)
     return clustering.resize(comp, eg, "refined", 5, 0.02)
 
 
-@query()
+@query("""SELECT 'large' AS stratum, component, size FROM (SELECT component, size FROM rep ORDER BY size DESC, component LIMIT 5) UNION ALL SELECT stratum, component, size FROM
+    (SELECT component, size, CASE WHEN size <= 3 THEN 'small' WHEN above / greatest(1, total - 1) BETWEEN 0.3 AND 0.7 THEN 'middle' END AS stratum FROM (SELECT component, size, rank() OVER (ORDER BY size DESC) - 1 AS above, count(*) OVER () AS total FROM rep) WHERE component NOT IN (SELECT component FROM rep ORDER BY size DESC, component LIMIT 5))
+    WHERE stratum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || component), component) <= 5""", reach=True)
 def stratified_sample(spark, root):
-    return clustering.stratified(clustering.sizes(_clustered(spark, root)[2]), 5, 42)
+    return clustering.stratified(clustering.sizes(clustered(spark, root)[2]), 5, 42)
 
 
 @query("""SELECT coalesce(a.size, b.size) AS size, coalesce(a.n, 0) AS left_clusters, coalesce(b.n, 0) AS right_clusters, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT size, count(*) AS n FROM rep GROUP BY 1) a
@@ -535,10 +546,10 @@ def cluster_population_compare(spark, root):
     from threadloom.operators.latest import latest
 
     stored = latest(table(spark, root, "clusters"), ["id"], "created_at", "member_count").where("member_count is not null").select(F.col("id").alias("component"), F.col("member_count").cast("long").alias("size"))
-    return evaluate.compare_sizes(clustering.sizes(_clustered(spark, root)[2]), stored)
+    return evaluate.compare_sizes(clustering.sizes(clustered(spark, root)[2]), stored)
 
 
-@query()
+@query("SELECT CAST(8 AS BIGINT) AS size, CAST(64 AS BIGINT) AS n_clusters")
 def synthetic_rebuild(spark, root):
     """Clusters of the synthetic fixture of 512 threads and three sources: how many of each size are found."""
     scratch = Scratch(spark)
@@ -563,22 +574,28 @@ _SEM = "(SELECT vec.id AS thread_id, list_cosine_similarity(v, q) AS semantic_sc
 @query(f"SELECT thread_id, round(bm25, 6) AS bm25 FROM {_BM}")
 def bm25_topk(spark, root):
     """BM25 of every document that has all terms."""
-    return search.bm25(table(spark, root, "documents"), "thread_id", _TEXTS, _TERMS).select("thread_id", F.round("bm25", 6).alias("bm25"))
+    from threadloom.plans.serving import text_index
+
+    return search.search_index(text_index(spark, root), " ".join(_TERMS)).select(F.col("doc").alias("thread_id"), F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"SELECT thread_id, round(bm25, 6) AS bm25, round(keyword_score, 6) AS keyword_score FROM {_KW}")
 def search_keyword(spark, root):
-    found = search.keyword(table(spark, root, "documents"), model.threads(spark, root).where(model.is_open()), _TERMS, _TEXTS)
+    from threadloom.plans.serving import text_index
+
+    found = search.keyword(text_index(spark, root), model.threads(spark, root).where(model.is_open()), " ".join(_TERMS))
     return found.select("thread_id", F.round("bm25", 6).alias("bm25"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
 @query(f"SELECT thread_id, round(coalesce(keyword_score, 0), 6) AS keyword_score, round(coalesce(semantic_score, 0), 6) AS semantic_score, round(coalesce(keyword_score, 0) + coalesce(semantic_score, 0), 6) AS hybrid_score FROM {_KW} k FULL JOIN {_SEM} s USING (thread_id) JOIN opn ON opn.id = thread_id ORDER BY round(coalesce(keyword_score, 0) + coalesce(semantic_score, 0), 9) DESC, updated_at_gh DESC NULLS LAST, number DESC LIMIT 20")
 def search_hybrid(spark, root):
     """Keyword and semantic legs together; the query vector is that of the first thread, read as one row."""
+    from threadloom.plans.serving import text_index
+
     open_ = model.threads(spark, root).where(model.is_open())
-    vecs = model.vectors(spark, root)
+    vecs = Scratch(spark).save(model.vectors(spark, root), "vectors")
     first = vecs.orderBy("id").limit(1).collect()
-    key = search.keyword(table(spark, root, "documents"), open_, _TERMS, _TEXTS)
+    key = search.keyword(text_index(spark, root), open_, " ".join(_TERMS))
     found = vecs.join(open_.select("id"), "id", "left_semi")
     sem = search.semantic(found, list(first[0]["vec"]) if first else [], skip=first[0]["id"] if first else None)
     score = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
