@@ -38,7 +38,7 @@ def nearest(vectors: DataFrame, k: int, floor: float, scratch: Scratch, target:
     if not extra.isEmpty():
         searched = scratch.save(vectors.join(extra, ["vset", "id"], "left_anti"), "distinct")
     index = build_index(searched, k, floor, target)
-    found = search(bin_rows(searched, index), nearest_edges(k, floor), EDGE)
+    found = search(bin_rows(searched, index), index.tasks, nearest_edges(k, floor), EDGE)
     once = found.repartition("vset", "left_id").groupBy("vset", "left_id", "right_id").agg(F.max("cos").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("vset", "left_id").orderBy(F.col("cos").desc(), "right_id"))
     best = once.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

@@ -338,7 +338,7 @@ def cluster(vectors: DataFrame, floor: float, scratch: Scratch, exact: bool = Tr
     if not copies.isEmpty():
         one = scratch.save(vectors.join(copies.select(F.col("member").alias("id")), "id", "left_anti").select("vset", "id", "vec"), "distinct")
     index = build_index(one, 8, floor)
-    found = search(bin_rows(one, index), similar_edges(floor), EDGE)
+    found = search(bin_rows(one, index), index.tasks, similar_edges(floor), EDGE)
     edges = scratch.save(found.groupBy("left_id", "right_id").agg(F.max("cos").alias("cos"), F.bit_or("lost").alias("lost")), "edges")
     alone = copies.select("id").distinct().select("id", F.col("id").alias("pivot"))  # equal vectors without another similar one
     lossy = None
@@ -349,7 +349,7 @@ def cluster(vectors: DataFrame, floor: float, scratch: Scratch, exact: bool = Tr
     picks = {"smallest": _smallest, "closest": _closest}
 
     def again(rows: DataFrame, pick: str) -> DataFrame:
-        return search(bin_rows(rows, index), _linked(floor, picks[pick]), LINK)
+        return search(bin_rows(rows, index), index.tasks, _linked(floor, picks[pick]), LINK)
 
     def joined(pivots: DataFrame, *more: DataFrame) -> DataFrame:
         return _joined(every, pivots, [*more, again(_tagged(lossy, pivots), "closest")] if lossy is not None else [*more])

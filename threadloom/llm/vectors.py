@@ -94,6 +94,11 @@ class Index:
     def leaves(self, vset: str, x: np.ndarray, visits: int) -> np.ndarray:
         return best_bins(self.trees[vset], x, visits) if vset in self.trees else np.zeros((len(x), 1), np.int32)
 
+    @property
+    def tasks(self) -> int:
+        """Blocks of all leaves: about one for each task of the search."""
+        return max(8, sum(int(b.sum()) for b in self.blocks.values()))
+
     def blocks_of(self, vset: str, leaf: np.ndarray) -> np.ndarray:
         return self.blocks[vset][leaf] if vset in self.blocks else np.ones(len(leaf), np.int64)
 
@@ -114,11 +119,27 @@ def _leaf_count(vset: str, rows: int, leaf_rows: int) -> int:
     return max(1, min(rows // leaf_rows, TREE_BYTES // (4 * int(vset.rpartition("#")[2]))))
 
 
-def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int):
-    """Brute force of the probes against the rows of a task: the k nearest of each, without their vectors."""
+def _visits_needed(tree: Tree, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each pair of rows, after how many visits of one of them it is in the other's first leaf."""
+    need = np.zeros(len(q), np.int32)
+    home_q, home_x = best_bins(tree, q, 1), best_bins(tree, x, 1)
+    open_, reach = np.arange(len(q)), 8
+    while len(open_):
+        for rows, home in ((q, home_x), (x, home_q)):
+            met = best_bins(tree, rows[open_], reach) == home[open_]
+            at = np.where(met.any(1), met.argmax(1) + 1, np.iinfo(np.int32).max)
+            need[open_] = np.where(need[open_] > 0, np.minimum(need[open_], at), at)
+        open_ = open_[need[open_] == np.iinfo(np.int32).max]
+        need[open_] = 0
+        reach *= 8
+    return need
+
+
+def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], trees: dict[str, Tree], k: int):
+    """Brute force of the probes against the rows of a task: the k nearest of each, and the visits that it takes to meet them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for (vset,), part in runs(batches, 1):
             if vset not in probes:
                 continue
@@ -126,36 +147,29 @@ def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int):
             ids, x = np.asarray(part.column(1)), matrix(part.column(2), np.dtype("<f4"))
             s = q @ x.T
             s[own[:, None] == ids[None, :]] = -2
-            cos, near = best.get(vset, (np.full((len(own), k), -2, np.float32), np.zeros((len(own), k), np.int64)))
-            cos, near = np.concatenate([cos, s], 1), np.concatenate([near, np.broadcast_to(ids, s.shape)], 1)
-            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            best[vset] = np.take_along_axis(cos, top, 1), np.take_along_axis(near, top, 1)
-        for vset, (cos, near) in best.items():
+            m = min(k, len(ids))
+            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            new = np.take_along_axis(s, top, 1), ids[top], x[top]
+            if vset in best:
+                cos, near, vec = (np.concatenate([old, fresh], 1) for old, fresh in zip(best[vset], new))
+                top = np.argpartition(-cos, min(k, cos.shape[1]) - 1, axis=1)[:, :k]
+                new = np.take_along_axis(cos, top, 1), np.take_along_axis(near, top, 1), np.take_along_axis(vec, top[:, :, None], 1)
+            best[vset] = new
+        for vset, (cos, near, vec) in best.items():
             i, j = np.nonzero(cos > -2)
-            yield pa.RecordBatch.from_arrays([pa.array([vset] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(cos[i, j].astype(np.float64)), pa.array(near[i, j])], names=["vset", "probe", "cos", "id"])
+            need = _visits_needed(trees[vset], probes[vset][1][i], vec[i, j])
+            yield pa.RecordBatch.from_arrays([pa.array([vset] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(cos[i, j].astype(np.float64)), pa.array(near[i, j]), pa.array(need)], names=["vset", "probe", "cos", "id", "need"])
 
     return run
 
 
-def _calibrated(tree: Tree, q: np.ndarray, x: np.ndarray, target: float) -> tuple[int, float]:
-    """The least number of visits at which ``target`` of the pairs of ``q`` and ``x`` meet in the first leaf of one of them, and that share."""
-    visit = 1
-    while True:
-        a, b = best_bins(tree, q, visit), best_bins(tree, x, visit)
-        hit = float(((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean())
-        if hit >= target or visit >= tree.leaves:
-            return visit, hit
-        visit += 1
-
-
 def build_index(vectors: DataFrame, k: int, floor: float, target: float = 0.995, leaf_rows: int = BLOCK) -> Index:
     """Fit a tree per set on a bounded sample and widen the leaf visits until the probes' recall reaches ``target``.
 
     Recall is measured against brute force over all rows: of the pairs of a probe and its ``k`` nearest rows at
     ``floor`` or more, the share in which one of the two visits the other's leaf. Where the probes have fewer than
     ``LEAST_PAIRS`` such pairs, their nearest pairs below the floor are taken as well. Trees are fitted and the probes' nearest rows found
-    by tasks; trees, probes and the probes' k nearest rows come to the driver, all of a size that does not depend on
-    the data. ``vectors`` must be a written table, as several passes read it. An empty table gives an empty index.
+    by tasks; the driver gets trees, probes, and counts of pairs by the visits that they take, none of which grows with the data but the trees, up to ``TREE_BYTES``. ``vectors`` must be a written table, as several passes read it. An empty table gives an empty index.
     """
     sizes = {r["vset"]: r["count"] for r in vectors.groupBy("vset").count().orderBy(F.col("count").desc(), "vset").limit(MAX_SETS).collect()}
     counts = {v: n for v, n in sizes.items() if n >= 2 * leaf_rows}
@@ -178,18 +192,19 @@ def build_index(vectors: DataFrame, k: int, floor: float, target: float = 0.995,
     visits, recall = {}, dict.fromkeys(sizes, 1.0)
     if trees:
         probes = {v: (np.array([r["id"] for r in part]), np.stack([np.frombuffer(r["vec"], "<f4") for r in part])) for v, part in _by_set(drawn(lambda _: PROBES, 23).where(F.col("vset").isin(list(trees)))).items()}
-        near = vectors.where(F.col("vset").isin(list(trees))).mapInArrow(_probe(probes, k), "vset string, probe int, cos double, id long")
+        near = vectors.where(F.col("vset").isin(list(trees))).mapInArrow(_probe(probes, trees, k), "vset string, probe int, cos double, id long, need int")
         rank = F.row_number().over(Window.partitionBy("vset", "probe").orderBy(F.col("cos").desc(), "id"))
-        top = near.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-        found = _by_set(vectors.join(F.broadcast(top), ["vset", "id"]).select("vset", "probe", "cos", "vec"))  # k rows a probe
-        for vset, tree in trees.items():
-            pairs = sorted(found.get(vset, []), key=lambda r: -r["cos"])
-            pairs = pairs[: max(LEAST_PAIRS, sum(r["cos"] >= floor for r in pairs))]
-            if not pairs:  # no row has a neighbour at all
-                visits[vset] = 1
-                continue
-            q, x = probes[vset][1][[r["probe"] for r in pairs]], np.stack([np.frombuffer(r["vec"], "<f4") for r in pairs])
-            visits[vset], recall[vset] = _calibrated(tree, q, x, target)
+        met = near.withColumn("rank", rank).where(F.col("rank") <= k)
+        place = F.row_number().over(Window.partitionBy("vset").orderBy(F.col("cos").desc(), "probe", "id"))  # k rows a probe
+        met = met.withColumn("place", place).where((F.col("cos") >= floor) | (F.col("place") <= LEAST_PAIRS))
+        found: dict[str, list[Row]] = _by_set(met.groupBy("vset", "need").agg(F.count("*").alias("n")).orderBy("need"))
+        for vset in trees:
+            visits[vset], total, hit = 1, sum(r["n"] for r in found.get(vset, [])), 0
+            for r in found.get(vset, []):
+                hit += r["n"]
+                visits[vset], recall[vset] = r["need"], hit / total
+                if hit >= target * total:
+                    break
     index = Index(trees, visits, {v: np.ones(t.leaves, np.int64) for v, t in trees.items()}, recall)
     filled = vectors.mapInArrow(_first_leaves(index), "vset string, leaf int, n long").groupBy("vset", "leaf").agg(F.sum("n").alias("n"))
     for r in filled.where(F.col("n") > 2 * BLOCK).collect():  # at most one row a leaf
@@ -266,7 +281,7 @@ def _unit(q: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def search(binned: DataFrame, emit, schema: str) -> DataFrame:
+def search(binned: DataFrame, tasks: int, emit, schema: str) -> DataFrame:
     """Hold the members of each block against each other and against the queries that visit it.
 
     ``emit(vset, ids_a, ids_b, cosines, same)`` gives a list of columns for what is to come out of one meeting; ``same`` says
@@ -312,7 +327,7 @@ def search(binned: DataFrame, emit, schema: str) -> DataFrame:
         if at is not None:
             yield from close(at[0])
 
-    return binned.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(run, schema)
+    return binned.repartition(tasks, *keys).sortWithinPartitions(*keys, "role").mapInArrow(run, schema)
 
 
 def nearest_edges(k: int, floor: float):
