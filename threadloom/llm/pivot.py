@@ -27,6 +27,8 @@ from threadloom.llm.vectors import bin_rows, build_index, search
 from threadloom.session import Scratch
 
 DENSE = 64
+#: Times that pivots are compared anew after some made way, at most; once or twice is the rule.
+REPAIRS = 5
 #: Members of a group that one task holds, at most.
 HELD = 4096
 #: ``lost``: 1 if the left row has pairs of the meeting left out, 2 if the right one, 3 if both.
@@ -357,20 +359,27 @@ def cluster(vectors: DataFrame, floor: float, scratch: Scratch, exact: bool = Tr
     every = scratch.save(_both(edges), "both")
     pivots = pivot_rounds(every, scratch, "first", lossy, again)
     assigned = scratch.save(joined(pivots), "assigned")
-    near = scratch.save(missed_pivots(assigned, edges, one, floor), "missed")
-    if not near.isEmpty():
-        # pivots that turn out to be similar to another one make way by the same rule
-        rivals = scratch.save(near.join(pivots, F.col("u") == F.col("p"), "left_semi").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct(), "rivals")
-        if not rivals.isEmpty():
-            stay = pivot_rounds(rivals, scratch, "rivals")
+    near: list[DataFrame] = []
+    for step in range(REPAIRS):
+        near.append(scratch.save(missed_pivots(assigned, edges, one, floor), f"missed-{step}"))
+        if near[-1].isEmpty():
+            break
+        twice = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+        rivals = scratch.save(near[-1].join(pivots, F.col("u") == F.col("p"), "left_semi").select(twice).select("e.*").distinct(), f"rivals-{step}")
+        same = rivals.isEmpty()
+        if not same:  # pivots that turn out to be similar to another one make way by the same rule
+            stay = pivot_rounds(rivals, scratch, f"rivals-{step}")
             demoted = rivals.select("u").distinct().join(stay, F.col("u") == F.col("p"), "left_anti")
-            pivots = scratch.save(pivots.join(demoted, F.col("p") == F.col("u"), "left_anti"), "pivots")
-        assigned = scratch.save(joined(pivots, near), "assigned-2")
+            pivots = scratch.save(pivots.join(demoted, F.col("p") == F.col("u"), "left_anti"), f"left-{step}")
+        assigned = scratch.save(joined(pivots, *near), f"assigned-{step + 1}")
+        if same:
+            break
         # rows whose pivot made way and that no other pivot is similar to choose among themselves
         free = assigned.where("id = pivot").select("id").join(pivots, F.col("id") == F.col("p"), "left_anti")
-        rest = scratch.save(every.join(free.withColumnRenamed("id", "u"), "u", "left_semi").join(free.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), "rest")
+        rest = scratch.save(every.join(free.withColumnRenamed("id", "u"), "u", "left_semi").join(free.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), f"rest-{step}")
         if not rest.isEmpty():
-            assigned = scratch.save(joined(pivots.unionAll(pivot_rounds(rest, scratch, "rest")), near), "assigned-3")
+            pivots = scratch.save(pivots.unionAll(pivot_rounds(rest, scratch, f"rest-{step}")), f"more-{step}")
+            assigned = scratch.save(joined(pivots, *near), f"again-{step}")
     assigned = assigned.unionAll(alone.join(assigned.select("id"), "id", "left_anti"))
     return scratch.save(assigned, "clusters"), edges, copies, one
 
