@@ -1,18 +1,21 @@
 import json
 import os
 import stat
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom import config
+from threadloom.functions.times import age_hours, months_earlier, since
 from threadloom.functions.vectors import query_size, score_of_distance
 from threadloom.operators import clustering, edges, merge, state, sync
 from threadloom.operators.vectors import from_binary, migrated, to_binary
 from threadloom.plans import experiments
 from threadloom.session import Scratch, scope
 from threadloom.sources import payloads
+from threadloom.sources.vector_store import ExactStore
 from threadloom.sources.providers import TooLong, Transient, embedded, failure, summary_ladder
 
 THREAD = "id long, repo_id long, number long, state string, closed_at_local string, last_pulled_at string, closed_at_gh string, updated_at_gh string"
@@ -187,3 +190,25 @@ def test_scratch_is_dropped(spark):
         for s in (inner, kept):
             s.save(spark.range(1), "t")
     assert not os.path.exists(inner.root.removeprefix("file://")) and os.path.exists(kept.root.removeprefix("file://"))
+
+
+def test_times(spark):
+    now = datetime(2026, 3, 31, 12, tzinfo=UTC)
+    assert [since(t, now) for t in ("15m", "2H", "7d", "1w", "1mo", "1y", " 30s ")] == [f"{d}.000Z" for d in ("2026-03-31T11:45:00", "2026-03-31T10:00:00", "2026-03-24T12:00:00", "2026-03-24T12:00:00", "2026-03-03T12:00:00", "2025-03-31T12:00:00", "2026-03-31T11:59:30")]
+    assert since("2026-01-01T00:00:00+02:00", now) == "2025-12-31T22:00:00.000Z" and since("2026-01-01", now) == "2026-01-01T00:00:00.000Z"
+    for bad in ("", "5", "1q", "mo", "-1d"):
+        with pytest.raises(ValueError, match="neither"):
+            since(bad, now)
+    df = spark.createDataFrame([("2026-03-31 12:00:00",), ("2026-01-15 00:00:00",), (None,)], "t string").select(F.to_timestamp("t").alias("t"))
+    got = df.select(F.date_format(months_earlier(F.col("t"), 1), "yyyy-MM-dd HH").alias("m"), age_hours(F.col("t"), F.to_timestamp(F.lit("2026-03-31 14:59:00"))).alias("a")).collect()
+    assert [r.m for r in got] == ["2026-03-03 12", "2025-12-15 00", None] and [r.a for r in got] == [2, 1814, None]
+
+
+def test_exact_store(spark, tmp_path):
+    store = ExactStore(merge.SnapshotStore(spark, str(tmp_path)))
+    rows = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, [1.0, 0.1]), ("t", 3, [1.0, 0.0])], "scope string, id long, vec array<double>")
+    store.upsert(rows)
+    store.upsert(spark.createDataFrame([("s", 4, [0.9, 0.0]), ("s", 2, [0.0, 1.0])], "scope string, id long, vec array<double>"))
+    assert [(r.left_id, r.right_id) for r in store.query(rows.where("id = 1"), 5, 0.5).collect()] == [(1, 4)]
+    store.remove(spark.createDataFrame([("s", 4)], "scope string, id long"))
+    assert store.query(rows.where("id = 1"), 5, 0.5).count() == 0

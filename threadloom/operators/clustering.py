@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,8 +65,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -
     links are never gathered, and the number of rounds grows with the logarithm of the graph. ``edges``: ``(left_id, right_id)``.
     """
     ends = edges.where("left_id <> right_id").select(F.greatest("left_id", "right_id").cast("long").alias("u"), F.least("left_id", "right_id").cast("long").alias("v"))
-    now = scratch.save(ends.mapInArrow(_local, "u long, v long"), "star-0")
-    if now.count() <= LOCAL:  # the count is in the files' footers
+    now, left = scratch.counted(ends.mapInArrow(_local, "u long, v long"), f"star-{uuid.uuid4().hex[:8]}")
+    if left <= LOCAL:
         now = now.coalesce(1).mapInArrow(_local, "u long, v long")
     else:
         before, step = None, 0

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def synthetic_vectors(spark: SparkSession, clusters: int, members: int, width: int = 4, noise: int = 32, sources: tuple[str, ...] = ("title", "body", "dedupe_summary")) -> DataFrame:
-    """``(source, id, cluster, vec)`` with one block of dimensions per cluster, one slot per source, and small noise."""
+    """``(source, id, cluster, vec)`` with one block of dimensions per cluster, one slot per source, and small noise.
+
+    Fixed values: the weights inside a block, the source's slot, and the constants of the noise.
+    """
     rows = spark.range(clusters * members * len(sources)).select(
         (F.col("id") % len(sources)).cast("int").alias("s"), F.floor(F.col("id") / len(sources)).alias("t"), F.floor(F.col("id") / (len(sources) * members)).cast("int").alias("c"),
     ).withColumn("o", (F.col("t") % members).cast("int"))
@@ -57,3 +60,8 @@ def judged(judgements: DataFrame) -> DataFrame:
 def regression(timings: DataFrame, baseline_ms: float) -> DataFrame:
     """Median of the samples' ``ms`` and its change against a baseline in percent."""
     return timings.agg(F.median("ms").alias("median_ms")).withColumn("change_pct", F.round((F.col("median_ms") / baseline_ms - 1) * 100, 2))
+
+
+def projected(ms: float, threads: int, target: int) -> float:
+    """The time of ``target`` threads at the rate measured."""
+    return round(ms / threads * target, 1) if threads else 0.0

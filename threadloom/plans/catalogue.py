@@ -182,11 +182,11 @@ def stale_open_threads(spark, root):
 
 
 @query("""SELECT repo_id, strftime(ts - to_hours(CAST(greatest(2, ceil(epoch_us(ts - ref) / 3600000000.0)) AS INTEGER)), '%Y-%m-%d %H:%M:%S.%g') AS since FROM
-    (SELECT repo_id, max(strptime(last_pulled_at, '%Y-%m-%dT%H:%M:%S.%gZ')) AS ts, min(strptime(last_pulled_at, '%Y-%m-%dT%H:%M:%S.%gZ')) AS ref FROM th WHERE last_pulled_at IS NOT NULL AND length(last_pulled_at) = 24 GROUP BY 1)""")
+    (SELECT repo_id, max(strptime(last_pulled_at, '%Y-%m-%dT%H:%M:%S.%gZ')) AS ts, min(strptime(last_pulled_at, '%Y-%m-%dT%H:%M:%S.%gZ')) AS ref FROM th WHERE last_pulled_at IS NOT NULL GROUP BY 1)""")
 def incremental_since(spark, root):
     """Start of the next overlapping scan of every repository."""
-    at = F.to_timestamp("last_pulled_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    per = model.threads(spark, root).where("length(last_pulled_at) = 24").groupBy("repo_id").agg(F.max(at).alias("ts"), F.min(at).alias("ref"))
+    at = F.try_to_timestamp("last_pulled_at")  # any ISO form
+    per = model.threads(spark, root).where(at.isNotNull()).groupBy("repo_id").agg(F.max(at).alias("ts"), F.min(at).alias("ref"))
     return per.select("repo_id", F.date_format(merge.overlap_since(F.col("ref"), F.col("ts")), "yyyy-MM-dd HH:mm:ss.SSS").alias("since"))
 
 
@@ -549,17 +549,27 @@ def cluster_population_compare(spark, root):
     return evaluate.compare_sizes(clustering.sizes(clustered(spark, root)[2]), stored)
 
 
-@query("SELECT CAST(8 AS BIGINT) AS size, CAST(64 AS BIGINT) AS n_clusters")
-def synthetic_rebuild(spark, root):
-    """Clusters of the synthetic fixture of 512 threads and three sources: how many of each size are found."""
+def _synthetic(spark, n: int, members: int):
     scratch = Scratch(spark)
-    made = evaluate.synthetic_vectors(spark, 64, 8)
+    made = evaluate.synthetic_vectors(spark, n, members)
     near = edges.nearest_neighbors(made.select(F.col("source").alias("scope"), "id", "vec"), 7, 0.82).where("left_id < right_id")
-    fused = scratch.save(edges.fuse(near.select("left_id", "right_id", F.col("scope").alias("source"), "score"), 0.82), "edges")
+    fused = edges.fuse(near.select("left_id", "right_id", F.col("scope").alias("source"), "score"), 0.82)
     comp = clustering.connected_components(made.select("id").distinct(), fused, scratch)
     return clustering.sizes(comp).groupBy("size").agg(F.count("*").alias("n_clusters"))
 
 
+@query("SELECT CAST(8 AS BIGINT) AS size, CAST(64 AS BIGINT) AS n_clusters")
+def synthetic_rebuild(spark, root):
+    """Clusters of the synthetic fixture of 512 threads and three sources: how many of each size are found."""
+    return _synthetic(spark, 64, 8)
+
+
+@query()
+def synthetic_rebuild_large(spark, root):
+    """The same for 1,536 threads; with 7 neighbours of 15 alike, clusters may fall apart."""
+    return _synthetic(spark, 96, 16)
+
+
 # search
 
 _TEXTS = ["title", "body", "raw_text", "dedupe_text"]

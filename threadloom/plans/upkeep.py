@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import clustering, edges, merge, sync
 from threadloom.operators.documents import source_tasks, summary_sources
 from threadloom.operators.latest import latest
+from threadloom.operators.vectors import usable_rows
 from threadloom.operators.state import currency, desired_stamps, pending_summaries, workset
 from threadloom.plans import experiments, model
 from threadloom.plans.catalogue import _ALL, _CUT, _WS, query
@@ -146,6 +147,21 @@ def refined_largest(spark, root):
     return clustering.refine_one(comp, model.vectors(spark, root), ts, 1, 6, 0.5, Scratch(spark))
 
 
+@query("SELECT u.mode AS mode, (SELECT count(*) FROM th) AS n_members, 0 AS too_large, 0 AS across FROM (SELECT unnest(['bounded', 'refined']) AS mode) u")
+def resized_clusters(spark, root):
+    """Of the bounded and the refined clusters: members, clusters above 5 members, and clusters of several components; the last two must be 0."""
+    from threadloom.plans.catalogue import clustered
+
+    _, eg, comp = clustered(spark, root, False)
+    out = None
+    for mode in ("bounded", "refined"):
+        parts = clustering.resize(comp, eg, mode, 5, 0.02).withColumnRenamed("component", "part").join(comp, "id")
+        per = parts.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("component").alias("of"))
+        row = per.agg(F.sum("n").alias("n_members"), F.count_if(F.col("n") > 5).cast("int").alias("too_large"), F.count_if(F.col("of") > 1).cast("int").alias("across")).select(F.lit(mode).alias("mode"), "*")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 @query()
 def experiment_matrix(spark, root):
     """Clusterings of the source vectors by several sources and fusions: edges, clusters, sizes."""
@@ -153,6 +169,15 @@ def experiment_matrix(spark, root):
     return experiments.matrix(rows, Scratch(spark), experiments.CONFIGS, 25, 0.0)
 
 
+@query("SELECT opn.id AS id, opn.repo_id AS repo_id, opn.number AS number, len(v) AS dimensions FROM opn JOIN (SELECT thread_id AS id, TRY_CAST(TRY_CAST(vector_json AS JSON) AS DOUBLE[]) AS v FROM thread_vectors WHERE model = 'trellis-embed-l' AND basis = 'title_original' AND dimensions = 96 AND thread_id IS NOT NULL AND len(TRY_CAST(TRY_CAST(vector_json AS JSON) AS DOUBLE[])) = 96 AND len(list_filter(TRY_CAST(TRY_CAST(vector_json AS JSON) AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(TRY_CAST(TRY_CAST(vector_json AS JSON) AS DOUBLE[]), lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY updated_at DESC NULLS LAST, vector_json DESC) = 1) USING (id)")
+def clusterable_vectors(spark, root):
+    """Open threads with a usable vector of the wanted model, basis and length, in order of number."""
+    stored = table(spark, root, "thread_vectors").where((F.col("model") == model.MODEL) & (F.col("basis") == "title_original") & (F.col("dimensions") == 96))
+    rows = latest(usable_rows(stored, ["thread_id", "updated_at"], "vector_json", "dimensions"), ["thread_id"], "updated_at", "vec")
+    ts = model.threads(spark, root).where(model.is_open()).select("id", "repo_id", "number")
+    return ts.join(rows.select(F.col("thread_id").alias("id"), F.size("vec").cast("long").alias("dimensions")), "id").orderBy("number", "id")
+
+
 @query("SELECT id, other_id, round(score, 6) AS score FROM (SELECT q.id AS id, v.id AS other_id, list_inner_product(q.v, v.v) AS score FROM vec q JOIN vec v ON q.id <> v.id AND len(q.v) = len(v.v) WHERE q.id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other_id) <= 3")
 def dot_topk(spark, root):
     """The 3 best by inner product, of all threads, for every thread whose id is divisible by 50."""

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def tune(spark: SparkSession, batch_rows: int = 2000) -> SparkSession:
@@ -70,6 +71,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Write ``df``; the written table and its rows, counted by the writing job itself."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        n = seen.get.get("n")  # missing if the plan turned out to be empty
+        return saved, saved.count() if n is None else n
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
