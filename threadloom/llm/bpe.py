@@ -12,12 +12,14 @@ ordinary text. Lone surrogates can't occur in Spark strings.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,12 +143,19 @@ _LOADED: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, read once per worker."""
+    """The vocabulary of a file, read once per worker; where a worker has no such file, the copy that the driver shipped is read."""
     if path not in _LOADED:
-        _LOADED[path] = Vocabulary.read(path)
+        _LOADED[path] = Vocabulary.read(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _LOADED[path]
 
 
+def _shipped(df: DataFrame, path: str) -> None:
+    """Send the file, of some megabytes, to all workers with the session's files, once."""
+    context = df.sparkSession.sparkContext
+    if os.path.exists(path) and not any(f.endswith(f"/{os.path.basename(path)}") for f in context.listFiles):
+        context.addFile(path)
+
+
 def _pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """A batch's texts in portions of bounded size."""
     values, at, size = [], 0, 0
@@ -163,6 +172,8 @@ def _pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[
 def token_ids(df: DataFrame, ident: str, text: str, path: str) -> DataFrame:
     """``(ident, ids)``: the token ids of each row's text; no shuffle, and every row of ``df`` comes out, in its order."""
 
+    _shipped(df, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
@@ -179,6 +190,8 @@ def token_ids(df: DataFrame, ident: str, text: str, path: str) -> DataFrame:
 def token_counts(df: DataFrame, ident: str, text: str, path: str) -> DataFrame:
     """``(ident, n_tokens)`` of each row's text."""
 
+    _shipped(df, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:

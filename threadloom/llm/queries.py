@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.bpe import token_counts, token_ids
@@ -58,6 +58,16 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_pieces(spark, root).where("piece = 0").select("item_table", "item_id", "boundary")
 
 
+def p3_cover(spark: SparkSession, root: str) -> DataFrame:
+    """Characters of each split text that its pieces cover, and whether all pieces keep to the limit and share 0 to 300 characters with the one before."""
+    before = F.lag("end", 1, 0).over(Window.partitionBy("item_table", "item_id").orderBy("piece"))
+    rows = p3_pieces(spark, root).select("item_table", "item_id", "start", "end", before.alias("before"), F.length("content").alias("n"))
+    new = F.col("end") - F.greatest("start", "before")
+    fits = (F.col("n") <= 6000) & (F.col("n") == F.col("end") - F.col("start"))
+    laps = (F.col("start") <= F.col("before")) & (F.col("before") - F.col("start") <= 300)
+    return rows.groupBy("item_table", "item_id").agg(F.sum(new).alias("covered"), F.bool_and(fits).alias("within"), F.bool_and(laps).alias("lapped"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """The group of every thread with a link of score 0.78 to 1."""
     tune(spark)
@@ -155,5 +165,5 @@ def p9_passages(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p3_found, p3_pieces, p4_found, p4_group_sizes, p5_found, p5_groups, p6_found, p6_clusters, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
+    for f in (p2_found, p3_found, p3_pieces, p3_cover, p4_found, p4_group_sizes, p5_found, p5_groups, p6_found, p6_clusters, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
 }
