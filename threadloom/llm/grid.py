@@ -103,15 +103,15 @@ def groups(edges: DataFrame, left: str, right: str, scratch: Scratch, cell: int
     """``(group_id, member_id)``, one row for each linked vertex; ids must be whole numbers."""
     tag = uuid.uuid4().hex[:8]
     ends = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = scratch.save(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges-{tag}-0")
+    now, n = scratch.counted(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges-{tag}-0")
     rounds: list[DataFrame] = []
-    while n := now.count():
+    while n:
         step = len(rounds)
         side = int(max(LEAST_SIDE if not step else 1, np.ceil(np.sqrt(2 * n / cell))))
         found = scratch.save(_round(now, side, step), f"parents-{tag}-{step}")
         rounds.append(found.select("vertex", "parent"))
         links = found.where(F.size("roots") > 1).select(F.col("parent").alias("a"), F.explode("roots").alias("b")).where("a <> b")
-        now = scratch.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges-{tag}-{step + 1}")
+        now, n = scratch.counted(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges-{tag}-{step + 1}")
         scratch.drop(f"edges-{tag}-{step}")
     if not rounds:
         return now.select(F.col("a").alias("group_id"), F.col("b").alias("member_id"))
