@@ -82,6 +82,12 @@ ORACLES = {
         length(p) - length(replace(replace(p, '.', ''), '[', '')) + CASE WHEN p LIKE '[%' THEN 0 ELSE 1 END AS level FROM tree WHERE p <> '')
     SELECT record_table, shape, count(*) AS n_nodes, count(DISTINCT record_id) AS n_records, CAST(max(level) AS INTEGER) AS deepest
     FROM shaped GROUP BY ALL""",
+    "p1_labels": _TREE + r"""
+    , pn AS (SELECT *, row_number() OVER (PARTITION BY record_table, record_id ORDER BY node_id) - 1 AS pre FROM tree WHERE record_table = 'threads'),
+    lb AS (SELECT * FROM pn WHERE regexp_matches(p, '^labels\[[0-9]+\]$')),
+    inner_ AS (SELECT lb.record_id, lb.p, count(*) AS n FROM lb JOIN tree t ON t.record_table = 'threads' AND t.record_id = lb.record_id AND (starts_with(t.p, lb.p || '.') OR starts_with(t.p, lb.p || '[')) GROUP BY 1, 2)
+    SELECT lb.record_id, CAST(pre AS INTEGER) AS pre, CAST(pre + coalesce(n, 0) - 2 AS INTEGER) AS post, CAST(regexp_extract(lb.p, '[0-9]+') AS INTEGER) AS position, lb.p AS element_path,
+        json_extract_string(value, '$.name') AS name, json_extract_string(value, '$.color') AS color FROM lb LEFT JOIN inner_ USING (record_id, p)""",
     "p1_reply_depth": _TREE + r"""
     SELECT CAST(len(regexp_extract_all(p, 'replies\[[0-9]+\]')) - 1 AS BIGINT) AS depth, count(*) AS n_replies
     FROM tree WHERE record_table = 'comments' AND type = 'OBJECT' AND regexp_matches(p, '(^|\.)replies\[[0-9]+\]$') GROUP BY 1""",
