@@ -332,6 +332,24 @@ def test_passages_with_small_edits(spark, tmp_path):
     assert (r.left_start, r.left_end, r.right_start, r.right_end) == (9, 608, 0, 599)
 
 
+def test_passages_with_gaps_are_aligned(spark, tmp_path):
+    rng = random.Random(15)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    cut = base[:300] + base[340:]  # 40 characters left out, then 30 put in
+    other = "q" * 7 + cut[:500] + "#" * 30 + cut[500:]
+    swapped = base[600:] + base[:300]
+    docs = [(1, base), (2, other), (3, swapped + "z" * 9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = {(r.left_id, r.right_id, r.left_start): r for r in queries.p9_passages(spark, str(tmp_path)).collect()}
+    whole = rows[1, 2, 0]
+    assert (whole.left_end, whole.right_start, whole.right_end, whole.n_spans) == (900, 7, 7 + 890, 3) and whole.matched_chars == 860 and whole.identity == round(860 / 900, 4)
+    assert {k[2] for k in rows if k[:2] == (1, 3)} == {0, 600} and all(rows[k].identity == 1 for k in rows if k[:2] == (1, 3))
+    noisy = "".join(c if i % 9 else "#" for i, c in enumerate(base[300:420]))
+    spark.createDataFrame([(1, base), (2, base[:300] + noisy + base[420:])], "doc_id long, text string").write.parquet(f"file://{tmp_path}/noisy/documents.parquet")
+    (r,) = queries.p9_passages(spark, f"{tmp_path}/noisy").collect()
+    assert r.n_spans == 2 and r.left_end == r.right_end == 900 and 870 <= r.matched_chars <= 890  # the stretch between is aligned
+
+
 def test_passages_of_hot_spans_cover_all_documents(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(spans, "HOT", 2)
     rng = random.Random(13)

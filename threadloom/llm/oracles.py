@@ -14,6 +14,8 @@ _P2 = f"""
 WITH v AS (SELECT * FROM {_TV} UNION ALL SELECT * FROM {_usable("document_embeddings", "source_kind", "embedding_json")}),
 s AS (SELECT a.k, a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.k = b.k AND a.id <> b.id AND len(a.v) = len(b.v)),
 near AS (SELECT * FROM s WHERE c >= 0.82 QUALIFY row_number() OVER (PARTITION BY k, x ORDER BY c DESC, y) <= 6)
+"""
+_P2_FOUND = """
 SELECT DISTINCT k AS vector_set, least(x, y) AS left_thread_id, greatest(x, y) AS right_thread_id FROM near
 """
 _P6 = f"""
@@ -74,7 +76,8 @@ hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM
 SELECT doc_id, CAST(sum(least(150, i - coalesce(p, -1000))) AS BIGINT) AS shared_chars FROM hit GROUP BY 1
 """
 ORACLES = {
-    "p2_found": _P2,
+    "p2_found": _P2 + _P2_FOUND,
+    "p2_recall": _P2 + "SELECT k AS vector_set, count(*) AS exact_pairs, true AS reached FROM near WHERE x % 50 = 0 GROUP BY 1",
     "p3_found": _P3,
     "p3_cover": _P3_ITEMS + "SELECT item_table, item_id, length(t) AS covered, true AS within, true AS lapped FROM item WHERE length(t) > 6000",
     "p4_found": _P4 + "SELECT * FROM found",

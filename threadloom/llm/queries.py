@@ -17,7 +17,9 @@ from threadloom.llm.pivot import clusters, isolated_clusters
 from threadloom.llm.spans import passages, shared_amounts
 from threadloom.llm.split import split_texts
 from threadloom.llm.vectors import usable_vectors
+from threadloom.operators.edges import neighbors_of
 from threadloom.operators.latest import latest
+from threadloom.operators.vectors import from_binary
 from threadloom.session import Scratch, tune
 from threadloom.sources.tables import table
 
@@ -41,6 +43,20 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return similar_pairs(edges).select(F.regexp_replace("vset", "#[0-9]+$", "").alias("vector_set"), F.col("left_id").alias("left_thread_id"), F.col("right_id").alias("right_thread_id"))
 
 
+def p2_recall(spark: SparkSession, root: str) -> DataFrame:
+    """For every thread whose id is divisible by 50, all rows held against it exactly: its 6 most similar at 0.82 or more, how many pairs
+    they are in each set, and whether the tree search gives at least 0.9 of them."""
+    tune(spark, 8000)
+    scratch = Scratch(spark)
+    rows = scratch.save(all_vectors(spark, root), "all")
+    edges, _ = nearest(rows, 6, 0.82, Scratch(spark), target=0.998)
+    exact = from_binary(rows, "vec").select(F.col("vset").alias("scope"), "id", F.col("vec").cast("array<double>").alias("vec"))
+    want = scratch.save(neighbors_of(exact.where("id % 50 = 0"), exact, 6, 0.82).select(F.col("scope").alias("vset"), "left_id", "right_id"), "exact")
+    got = edges.where("left_id % 50 = 0").select("vset", "left_id", "right_id", F.lit(1).alias("hit"))
+    per = want.join(got, ["vset", "left_id", "right_id"], "left").groupBy(F.regexp_replace("vset", "#[0-9]+$", "").alias("vector_set"))
+    return per.agg(F.count("*").alias("exact_pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of every text above 6,000 characters, with 300 characters of overlap."""
     tune(spark, 200)
@@ -165,5 +181,5 @@ def p9_passages(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p3_found, p3_pieces, p3_cover, p4_found, p4_group_sizes, p5_found, p5_groups, p6_found, p6_clusters, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
+    for f in (p2_found, p2_recall, p3_found, p3_pieces, p3_cover, p4_found, p4_group_sizes, p5_found, p5_groups, p6_found, p6_clusters, p7_ids, p8_containers, p8_fill, p9_found, p9_passages)
 }
