@@ -27,8 +27,6 @@ from threadloom.llm.vectors import bin_rows, build_index, search
 from threadloom.session import Scratch
 
 DENSE = 64
-#: Times that pivots are compared anew after some made way, at most; once or twice is the rule.
-REPAIRS = 5
 #: Members of a group that one task holds, at most.
 HELD = 4096
 #: ``lost``: 1 if the left row has pairs of the meeting left out, 2 if the right one, 3 if both.
@@ -197,9 +195,9 @@ def pivot_rounds(every: DataFrame, scratch: Scratch, name: str, lossy: DataFrame
         if active is not None and step:  # at first all are active, and the edges hold the smallest neighbour
             ahead = ahead.unionAll(again(active.withColumn("tag", F.lit(0).cast("long")), "smallest").select("u", "v"))
         low = ahead.groupBy("u").agg(F.min(_rank_column("v")).alias("low"))
-        chosen = scratch.save(low.where(_rank_column("u") < F.col("low")).select(F.col("u").alias("p")), f"{name}-pivots-{step}")
+        chosen, n = scratch.counted(low.where(_rank_column("u") < F.col("low")).select(F.col("u").alias("p")), f"{name}-pivots-{step}")
         pivots = chosen if pivots is None else pivots.unionAll(chosen)
-        if chosen.isEmpty():
+        if not n:
             return pivots
         gone = now.join(chosen, F.col("v") == F.col("p"), "left_semi").select(F.col("u").alias("p")).unionAll(chosen)
         if active is not None:
@@ -208,8 +206,8 @@ def pivot_rounds(every: DataFrame, scratch: Scratch, name: str, lossy: DataFrame
         rest = now.join(gone, F.col("u") == F.col("p"), "left_anti").join(gone, F.col("v") == F.col("p"), "left_anti")
         now = scratch.save(rest, f"{name}-edges-{step + 1}")
         if active is not None:
-            active = scratch.save(active.join(gone, F.col("id") == F.col("p"), "left_anti"), f"{name}-active-{step + 1}")
-            active = None if active.isEmpty() else active
+            active, n = scratch.counted(active.join(gone, F.col("id") == F.col("p"), "left_anti"), f"{name}-active-{step + 1}")
+            active = active if n else None
         scratch.drop(f"{name}-gone-{step}")
         if step:
             scratch.drop(f"{name}-edges-{step}")
@@ -238,6 +236,12 @@ def _cosines(floor: float):
     return run
 
 
+def compared(pairs: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    """The ``pairs`` ``(u, v)`` whose exact cosine is ``floor`` or more, with it."""
+    x, y = vectors.select(F.col("id").alias("u"), F.col("vec").alias("x")), vectors.select(F.col("id").alias("v"), F.col("vec").alias("y"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_cosines(floor), LINK)
+
+
 def missed_pivots(assigned: DataFrame, edges: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
     """``(u, v, cos)``: rows and pivots that are similar, of those that an edge between two clusters brings near: either end
     and the other's pivot, and both pivots, which the search may not have held against each other. Linear in such edges.
@@ -245,9 +249,7 @@ def missed_pivots(assigned: DataFrame, edges: DataFrame, vectors: DataFrame, flo
     left, right = assigned.select(F.col("id").alias("left_id"), F.col("pivot").alias("a")), assigned.select(F.col("id").alias("right_id"), F.col("pivot").alias("b"))
     across = edges.select("left_id", "right_id").join(left, "left_id").join(right, "right_id").where("a <> b")
     ends = F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("left_id", "b"), ("right_id", "a"), ("a", "b"))))
-    pairs = across.select(F.explode(ends).alias("e")).select("e.*").distinct()
-    x, y = vectors.select(F.col("id").alias("u"), F.col("vec").alias("x")), vectors.select(F.col("id").alias("v"), F.col("vec").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_cosines(floor), LINK)
+    return compared(across.select(F.explode(ends).alias("e")).select("e.*").distinct(), vectors, floor)
 
 
 def _held_rows(floor: float):
@@ -335,9 +337,9 @@ def cluster(vectors: DataFrame, floor: float, scratch: Scratch, exact: bool = Tr
     Without ``exact`` the pivots are those of the edges that are kept, which is enough where linked clusters are put together.
     """
     vectors = scratch.save(vectors, "vectors")
-    copies = scratch.save(copies_of(vectors), "copies")
+    copies, n = scratch.counted(copies_of(vectors), "copies")
     one = vectors
-    if not copies.isEmpty():
+    if n:
         one = scratch.save(vectors.join(copies.select(F.col("member").alias("id")), "id", "left_anti").select("vset", "id", "vec"), "distinct")
     index = build_index(one, 8, floor)
     found = search(bin_rows(one, index), index.tasks, similar_edges(floor), EDGE)
@@ -359,27 +361,23 @@ def cluster(vectors: DataFrame, floor: float, scratch: Scratch, exact: bool = Tr
     every = scratch.save(_both(edges), "both")
     pivots = pivot_rounds(every, scratch, "first", lossy, again)
     assigned = scratch.save(joined(pivots), "assigned")
-    near: list[DataFrame] = []
-    for step in range(REPAIRS):
-        near.append(scratch.save(missed_pivots(assigned, edges, one, floor), f"missed-{step}"))
-        if near[-1].isEmpty():
-            break
+    near, n = scratch.counted(missed_pivots(assigned, edges, one, floor), "missed")
+    if n:
         twice = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
-        rivals = scratch.save(near[-1].join(pivots, F.col("u") == F.col("p"), "left_semi").select(twice).select("e.*").distinct(), f"rivals-{step}")
-        same = rivals.isEmpty()
-        if not same:  # pivots that turn out to be similar to another one make way by the same rule
-            stay = pivot_rounds(rivals, scratch, f"rivals-{step}")
+        rivals, n = scratch.counted(near.join(pivots, F.col("u") == F.col("p"), "left_semi").select(twice).select("e.*").distinct(), "rivals")
+        more = [near]
+        if n:  # pivots that turn out to be similar to another one make way by the same rule, and their rows are compared with those they make way for
+            stay = pivot_rounds(rivals, scratch, "rivals")
             demoted = rivals.select("u").distinct().join(stay, F.col("u") == F.col("p"), "left_anti")
-            pivots = scratch.save(pivots.join(demoted, F.col("p") == F.col("u"), "left_anti"), f"left-{step}")
-        assigned = scratch.save(joined(pivots, *near), f"assigned-{step + 1}")
-        if same:
-            break
+            pivots = scratch.save(pivots.join(demoted, F.col("p") == F.col("u"), "left_anti"), "pivots")
+            heirs = rivals.join(demoted, "u", "left_semi").join(pivots, F.col("v") == F.col("p"), "left_semi").select(F.col("u").alias("pivot"), "v")
+            more.append(scratch.save(compared(assigned.join(heirs, "pivot").select(F.col("id").alias("u"), "v"), one, floor), "heirs"))
+        assigned = scratch.save(joined(pivots, *more), "assigned-2")
         # rows whose pivot made way and that no other pivot is similar to choose among themselves
         free = assigned.where("id = pivot").select("id").join(pivots, F.col("id") == F.col("p"), "left_anti")
-        rest = scratch.save(every.join(free.withColumnRenamed("id", "u"), "u", "left_semi").join(free.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), f"rest-{step}")
-        if not rest.isEmpty():
-            pivots = scratch.save(pivots.unionAll(pivot_rounds(rest, scratch, f"rest-{step}")), f"more-{step}")
-            assigned = scratch.save(joined(pivots, *near), f"again-{step}")
+        rest, n = scratch.counted(every.join(free.withColumnRenamed("id", "u"), "u", "left_semi").join(free.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), "rest")
+        if n:
+            assigned = scratch.save(joined(pivots.unionAll(pivot_rounds(rest, scratch, "rest")), *more), "assigned-3")
     assigned = assigned.unionAll(alone.join(assigned.select("id"), "id", "left_anti"))
     return scratch.save(assigned, "clusters"), edges, copies, one
 
