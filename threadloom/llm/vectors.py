@@ -135,7 +135,7 @@ def _visits_needed(tree: Tree, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return need
 
 
-def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], trees: dict[str, Tree], k: int):
+def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], trees: dict[str, Tree], k: int, floor: float):
     """Brute force of the probes against the rows of a task: the k nearest of each, and the visits that it takes to meet them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +157,9 @@ def _probe(probes: dict[str, tuple[np.ndarray, np.ndarray]], trees: dict[str, Tr
             best[vset] = new
         for vset, (cos, near, vec) in best.items():
             i, j = np.nonzero(cos > -2)
+            best_first = np.argsort(-cos[i, j], kind="stable")
+            kept = best_first[: max(LEAST_PAIRS, int((cos[i, j] >= floor).sum()))]  # no other pair counts in calibration
+            i, j = i[kept], j[kept]
             need = _visits_needed(trees[vset], probes[vset][1][i], vec[i, j])
             yield pa.RecordBatch.from_arrays([pa.array([vset] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(cos[i, j].astype(np.float64)), pa.array(near[i, j]), pa.array(need)], names=["vset", "probe", "cos", "id", "need"])
 
@@ -192,7 +195,7 @@ def build_index(vectors: DataFrame, k: int, floor: float, target: float = 0.995,
     visits, recall = {}, dict.fromkeys(sizes, 1.0)
     if trees:
         probes = {v: (np.array([r["id"] for r in part]), np.stack([np.frombuffer(r["vec"], "<f4") for r in part])) for v, part in _by_set(drawn(lambda _: PROBES, 23).where(F.col("vset").isin(list(trees)))).items()}
-        near = vectors.where(F.col("vset").isin(list(trees))).mapInArrow(_probe(probes, trees, k), "vset string, probe int, cos double, id long, need int")
+        near = vectors.where(F.col("vset").isin(list(trees))).mapInArrow(_probe(probes, trees, k, floor), "vset string, probe int, cos double, id long, need int")
         rank = F.row_number().over(Window.partitionBy("vset", "probe").orderBy(F.col("cos").desc(), "id"))
         met = near.withColumn("rank", rank).where(F.col("rank") <= k)
         place = F.row_number().over(Window.partitionBy("vset").orderBy(F.col("cos").desc(), "probe", "id"))  # k rows a probe
