@@ -17,7 +17,7 @@ from urllib.parse import parse_qs, urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.config import SETTINGS, save_preferences, settings
+from threadloom.config import NEIGHBOR_FLOOR, NEIGHBOR_LIMIT, SETTINGS, save_preferences, settings
 from threadloom.operators import edges
 from threadloom.operators.merge import SnapshotStore
 from threadloom.plans import catalogue, model, nested_queries, serving, upkeep  # noqa: F401  the last adds to the catalogue
@@ -74,7 +74,7 @@ def _floor(text: str) -> float:
     return float(text)
 
 
-def _neighbors(spark: SparkSession, root: str, thread_id: int, limit: int = 10, floor: float = 0.2) -> DataFrame:
+def _neighbors(spark: SparkSession, root: str, thread_id: int, limit: int = NEIGHBOR_LIMIT, floor: float = NEIGHBOR_FLOOR) -> DataFrame:
     rows_ = model.scoped(model.vectors(spark, root), model.threads(spark, root))
     return edges.neighbors_of(rows_.where(F.col("id") == thread_id), rows_, limit, floor).select("right_id", "score", "rank").orderBy("rank")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.config import BATCH_ITEMS, BATCH_TOKENS, SNIPPET_CHARS, Fusion
-from threadloom.functions.text import SPACE_CODES, estimated_tokens, is_bot, names_of, snippet, squash, truncated
+from threadloom.functions.text import SPACE_CODES, estimated_tokens, is_bot, names_of, snippet, truncated
 from threadloom.functions.vectors import norm, unit
 from threadloom.operators import clustering, edges, evaluate, merge, search
 from threadloom.operators.documents import canonical_documents, pending, summary_sources, vector_tasks

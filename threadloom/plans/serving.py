@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.config import HIT_NEIGHBORS, STORED_NEIGHBORS
+from threadloom.config import HIT_NEIGHBORS, NEIGHBOR_FLOOR, STORED_NEIGHBORS
 from threadloom.functions.text import names_of, snippet
 from threadloom.operators import clustering, edges, search
 from threadloom.operators.latest import latest
@@ -16,7 +16,7 @@ from threadloom.plans.catalogue import _TEXTS, _THREAD, query
 from threadloom.session import Scratch
 from threadloom.sources.tables import table
 
-SNAPSHOT_LEAST, SUMMARY_LIMIT = 10, 0
+SNAPSHOT_LEAST = 10
 
 
 def stored_clusters(spark: SparkSession, root: str) -> DataFrame:
@@ -108,7 +108,7 @@ def thread_view(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     stored = edges.both_ways(model.stored_edges(spark, root)).join(ids, "id", "left_semi").select("id", "other_id", "score")
     bare = ids.join(stored.select("id").distinct(), "id", "left_anti")
     rows = model.scoped(model.vectors(spark, root), model.threads(spark, root))
-    near = edges.neighbors_of(rows.join(bare, "id", "left_semi"), rows, STORED_NEIGHBORS, 0.2).select(F.col("left_id").alias("id"), F.col("right_id").alias("other_id"), "score")
+    near = edges.neighbors_of(rows.join(bare, "id", "left_semi"), rows, STORED_NEIGHBORS, NEIGHBOR_FLOOR).select(F.col("left_id").alias("id"), F.col("right_id").alias("other_id"), "score")
     hits = search.with_neighbors(ts.select(F.col("id").alias("thread_id"), "number", "kind"), stored.unionByName(near), STORED_NEIGHBORS)
     return hits.join(of.withColumnRenamed("id", "thread_id"), "thread_id", "left").join(kinds.withColumnRenamed("id", "thread_id"), "thread_id", "left")
 
