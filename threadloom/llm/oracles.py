@@ -70,7 +70,7 @@ SELECT cp.record_table, cp.id AS record_id, g.r AS group_record_id, ln.n_links,
 """
 _P9 = """
 WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 150),
-g AS (SELECT doc_id, i, hash(substr(text, i, 150)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS i FROM d)),
+g AS (SELECT doc_id, i, md5(substr(text, i, 150)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS i FROM d)),
 common AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
 hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g WHERE h IN (SELECT h FROM common))
 SELECT doc_id, CAST(sum(least(150, i - coalesce(p, -1000))) AS BIGINT) AS shared_chars FROM hit GROUP BY 1
