@@ -2,15 +2,19 @@
 
 The index is built once for a corpus: ``postings`` ``(term, bucket, doc, tf, places)``, written in folders by ``bucket``, a hash of the
 term, and sorted by term inside, so that a search reads the buckets of its terms and of these the row groups that hold
-them; ``lengths`` ``(doc, dl)``; and one row of statistics. Terms with a prefix mark are looked up in ``terms``, which is sorted as a whole.
+them; ``lengths`` ``(doc, dl)``; and one row of statistics. The start of a word is looked for in all buckets, whose
+files are sorted, so that only row groups that may hold it are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,30 +65,46 @@ class TextIndex:
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
-    terms: DataFrame
 
 
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of each document, with its places; a document lies in one row, so nothing is shuffled for it."""
+    for batch in batches:
+        words = batch.column(1)
+        flat, size = words.flatten().dictionary_encode(), np.asarray(words.value_lengths())
+        if not len(flat):
+            continue
+        code, owner = np.asarray(flat.indices, np.int64), np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        key = owner * len(flat.dictionary) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        offsets = np.append(first, len(order)).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype(np.int32)))
+        at = order[first]
+        yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[at])), batch.column(0).take(pa.array(owner[at])), pa.array(np.diff(offsets)), places], names=["term", "doc", "tf", "places"])
+
+
 def build_index(documents: DataFrame, ident: str, texts: list[str], root: str) -> TextIndex:
-    """Write the index of all documents below ``root``. Documents with a null id are left out; an id that occurs twice is two documents' words."""
+    """Write the index of all documents below ``root``. Documents with a null id are left out; rows of one id are one document."""
     words = tokens_of(*(F.col(t) for t in texts))
     docs = documents.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("doc"), words.alias("words"))
-    docs.select("doc", F.size("words").alias("dl")).write.mode("overwrite").parquet(f"{root}/lengths")
-    places = docs.select("doc", F.posexplode("words").alias("place", "term"))
-    # the places of a term in one document are as many as the document has words
-    per = places.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    per = docs.mapInArrow(_posted, "term string, doc long, tf int, places array<int>")
     per.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
     spark = documents.sparkSession
+    counted = spark.read.parquet(f"{root}/postings").groupBy("doc").agg(F.sum("tf").alias("dl"))
+    ids = docs.select("doc").distinct().join(counted, "doc", "left")
+    ids.select("doc", F.coalesce("dl", F.lit(0)).alias("dl")).write.mode("overwrite").parquet(f"{root}/lengths")
     spark.read.parquet(f"{root}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{root}/stats")
-    spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count("*").alias("df")).sort("term").write.mode("overwrite").parquet(f"{root}/terms")
     return open_index(spark, root)
 
 
 def open_index(spark: SparkSession, root: str) -> TextIndex:
-    return TextIndex(*(spark.read.parquet(f"{root}/{name}") for name in ("postings", "lengths", "stats", "terms")))
+    return TextIndex(*(spark.read.parquet(f"{root}/{name}") for name in ("postings", "lengths", "stats")))
 
 
 @dataclass(frozen=True)

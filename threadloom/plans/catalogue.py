@@ -583,10 +583,8 @@ _SEM = "(SELECT vec.id AS thread_id, list_cosine_similarity(v, q) AS semantic_sc
 
 @query(f"SELECT thread_id, round(bm25, 6) AS bm25 FROM {_BM}")
 def bm25_topk(spark, root):
-    """BM25 of every document that has all terms."""
-    from threadloom.plans.serving import text_index
-
-    return search.search_index(text_index(spark, root), " ".join(_TERMS)).select(F.col("doc").alias("thread_id"), F.round("bm25", 6).alias("bm25"))
+    """BM25 of every document that has all terms, in one pass over the texts."""
+    return search.bm25(table(spark, root, "documents"), "thread_id", _TEXTS, _TERMS).select("thread_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"SELECT thread_id, round(bm25, 6) AS bm25, round(keyword_score, 6) AS keyword_score FROM {_KW}")
