@@ -101,6 +101,17 @@ def test_neighbors_of_queries_and_lengths(spark):
     assert {r.other_id for r in best} == set(np.argsort(np.abs(x[:, 0] - x[3, 0]))[1:3].tolist())
 
 
+def test_inner_products_are_made_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(edges, "BLOCK", 16)
+    monkeypatch.setattr(edges, "STRIP", 4)
+    x = np.random.default_rng(4).integers(-2, 3, size=(60, 5)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(100, [1.0, 0.0]), (101, [2.0, 0.0]), (102, None), (103, [0.0, None])], "id long, vec array<double>")
+    found = edges.top_k(df.where("id % 7 = 0 or id in (100, 102, 103)"), df, 3)
+    want = {(i, j, float(x[i] @ x[j])) for i in range(0, 60, 7) for j in sorted((j for j in range(60) if j != i), key=lambda j: (-(x[i] @ x[j]), j))[:3]}
+    assert {tuple(r) for r in found.collect()} == want | {(100, 101, 2.0)}
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()  # not a join that adds up each pair of vectors by itself
+
+
 def test_large_graphs_go_through_the_rounds(spark, monkeypatch):
     monkeypatch.setattr(clustering, "LOCAL", 5)
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(3, 3)]
