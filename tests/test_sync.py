@@ -128,6 +128,31 @@ def test_order_and_numbers(spark):
     assert {(r.v, r.n) for r in got} == {(i, i + 11) for i in range(500)}
 
 
+def test_matrix_searches_once(spark, monkeypatch):
+    calls = []
+    search = edges.nearest_neighbors
+    monkeypatch.setattr(edges, "nearest_neighbors", lambda *a: calls.append(1) or search(*a))
+    x = np.random.default_rng(6).normal(size=(40, 4))
+    vecs = spark.createDataFrame([(s, i, r.tolist()) for s in ("title", "body") for i, r in enumerate(x)], "source string, thread_id long, vec array<double>")
+    configs = [experiments.Config(m, ("title", "body"), mode=m, most=5) for m in ("basic", "bounded", "refined")]
+    got = {r.name: r for r in experiments.matrix(vecs, Scratch(spark), (*configs, experiments.Config("one", ("body",), "mean", "basic")), 3, 0.0).collect()}
+    assert len(calls) == 1 and len(got) == 4 and got["basic"].n_edges == got["refined"].n_edges == got["one"].n_edges
+    assert got["basic"].max_size > 5 >= max(got["bounded"].max_size, got["refined"].max_size)
+
+
+def test_edges_in_portions(monkeypatch):
+    monkeypatch.setattr(clustering, "PORTION", 7)
+    rng = np.random.default_rng(8)
+    for most in (1, 3, 6, 50):
+        links = [(round(float(rng.random()), 2), int(a), int(b)) for a, b in rng.integers(0, 40, (120, 2)) if a != b]
+        group = {n: {n} for n in range(40)}
+        for _, a, b in sorted(links, key=lambda e: (-e[0], e[1], e[2])):
+            if group[a] is not group[b] and len(group[a]) + len(group[b]) <= most:
+                group[a] |= group[b]
+                group |= dict.fromkeys(group[b], group[a])
+        assert clustering.bounded(list(range(40)), links, most) == {n: min(g) for n, g in group.items()}
+
+
 def test_refine_and_matrix(spark):
     e = np.eye(4)
     rows = [(s, i, [float(v) for v in e[i // 3] + 0.01 * e[(i + 1) % 4]]) for s in ("title", "body") for i in range(6)]

@@ -23,10 +23,9 @@ def _state(edges: DataFrame) -> tuple:
 LOCAL = 1_000_000
 
 
-def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vertices, roots) of the vertices that are not the smallest of their group."""
-    vertex, code = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b, up = code[: len(u)], code[len(u) :], np.arange(len(vertex))
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place of each place's group."""
+    up = np.arange(n)
     while len(a):
         x, y = up[a], up[b]
         apart = x != y
@@ -34,6 +33,13 @@ def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
         while not ((two := up[up]) == up).all():
             up = two
+    return up
+
+
+def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, roots) of the vertices that are not the smallest of their group."""
+    vertex, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up = _roots(len(vertex), code[: len(u)], code[len(u) :])
     low = np.flatnonzero(up != np.arange(len(up)))
     return vertex[low], vertex[up[low]]
 
@@ -85,46 +91,70 @@ def connected_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _find(parent: dict[int, int], x: int) -> int:
+def _find(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = x = parent[parent[x]]
     return x
 
 
+#: Edges that are looked at one by one before those that can no longer merge anything are dropped.
+PORTION = 1 << 16
+
+
+def _bounded(n: int, score: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The smallest place of each place's group; strongest edges first, two groups merge only if together they stay within ``most``.
+
+    Groups only grow, so an edge inside a group or between two that are too large together is of no use any more.
+    """
+    order = np.lexsort((b, a, -score))
+    a, b = a[order], b[order]
+    parent, size, up = list(range(n)), [1] * n, np.arange(n)
+    for start in range(0, len(a), PORTION):
+        x, y = up[a[start : start + PORTION]], up[b[start : start + PORTION]]
+        sizes = np.array(size)
+        use = (x != y) & (sizes[x] + sizes[y] <= most)
+        for i, j in zip(x[use].tolist(), y[use].tolist()):
+            i, j = _find(parent, i), _find(parent, j)
+            if i != j and size[i] + size[j] <= most:
+                i, j = min(i, j), max(i, j)
+                parent[j] = i
+                size[i] += size[j]
+        up = np.array(parent)
+        while not ((two := up[up]) == up).all():
+            up = two
+    return up
+
+
+def _refined(n: int, score: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, step: float) -> np.ndarray:
+    """The smallest place of each place's group; groups above ``most`` are taken apart at thresholds that rise by ``step``, all of a level at once."""
+    out, open_, level = np.arange(n), np.ones(n, bool), 0.0
+    while open_.any() and level < 1.0:
+        up = _roots(n, a, b)
+        small = np.bincount(up[open_], minlength=n)[up] <= most
+        out[open_ & small] = up[open_ & small]
+        open_ &= ~small
+        level += step
+        kept = open_[a] & (up[a] == up[b]) & (score >= level)
+        score, a, b = score[kept], a[kept], b[kept]
+    return out
+
+
+def _places(nodes: list[int], edges: list[tuple[float, int, int]]) -> tuple[np.ndarray, ...]:
+    ids = np.unique(np.array(nodes, np.int64))
+    score, a, b = (np.array([e[i] for e in edges], t) for i, t in enumerate((np.float64, np.int64, np.int64)))
+    return ids, score, np.searchsorted(ids, a), np.searchsorted(ids, b)
+
+
 def bounded(nodes: list[int], edges: list[tuple[float, int, int]], most: int) -> dict[int, int]:
     """Strongest edges first; two groups merge only if together they stay within ``most``."""
-    parent, size = {n: n for n in nodes}, dict.fromkeys(nodes, 1)
-    for _, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
-        x, y = _find(parent, a), _find(parent, b)
-        if x != y and size[x] + size[y] <= most:
-            x, y = min(x, y), max(x, y)
-            parent[y] = x
-            size[x] += size[y]
-    return {n: _find(parent, n) for n in nodes}
+    ids, score, a, b = _places(nodes, edges)
+    return dict(zip(ids.tolist(), ids[_bounded(len(ids), score, a, b, most)].tolist()))
 
 
 def refined(nodes: list[int], edges: list[tuple[float, int, int]], most: int, step: float) -> dict[int, int]:
     """Groups above ``most`` are taken apart at thresholds that rise by ``step``; at 1 only single nodes are left."""
-    out: dict[int, int] = {}
-    open_: list[tuple[list[int], list, float]] = [(nodes, edges, 0.0)]
-    while open_:
-        members, links, level = open_.pop()
-        parent = {n: n for n in members}
-        if level < 1.0:
-            for _, a, b in links:
-                x, y = _find(parent, a), _find(parent, b)
-                parent[max(x, y)] = min(x, y)
-        parts: dict[int, list[int]] = {}
-        for n in members:
-            parts.setdefault(_find(parent, n), []).append(n)
-        for root, part in parts.items():
-            if len(part) <= most:
-                out |= dict.fromkeys(part, root)
-                continue
-            inside = set(part)
-            raised = level + step
-            open_.append((part, [e for e in links if e[1] in inside and e[0] >= raised], raised))
-    return out
+    ids, score, a, b = _places(nodes, edges)
+    return dict(zip(ids.tolist(), ids[_refined(len(ids), score, a, b, most, step)].tolist()))
 
 
 def resize(components: DataFrame, edges: DataFrame, mode: str, most: int, step: float) -> DataFrame:
@@ -139,10 +169,11 @@ def resize(components: DataFrame, edges: DataFrame, mode: str, most: int, step:
     schema = "id long, component long"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        nodes = sorted(left.column("member").to_pylist())
-        found = list(zip(*(right.column(c).to_pylist() for c in ("score", "left_id", "right_id"))))
-        label = bounded(nodes, found, most) if mode == "bounded" else refined(nodes, found, most, step)
-        return pa.table({"id": np.array(nodes, np.int64), "component": np.array([label[n] for n in nodes], np.int64)})
+        ids = np.unique(np.asarray(left.column("member"), np.int64))
+        score, a, b = (np.asarray(right.column(c)) for c in ("score", "left_id", "right_id"))
+        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        label = _bounded(len(ids), score, a, b, most) if mode == "bounded" else _refined(len(ids), score, a, b, most, step)
+        return pa.table({"id": ids, "component": ids[label]})
 
     large = big.groupBy("part").cogroup(links.groupBy("of")).applyInArrow(run, schema)
     return sized.where(F.col("n") <= most).select("id", "component").unionByName(large)

@@ -34,24 +34,36 @@ CONFIGS = (
 )
 
 
-def clustered(vectors: DataFrame, config: Config, scratch: Scratch, k: int, floor: float = CLUSTER_MIN_SCORE) -> tuple[DataFrame, DataFrame]:
-    """(components, edges) of ``(source, thread_id, vec)`` by one configuration; edges are exact neighbours of each source."""
-    rows = vectors.where(F.col("source").isin(*config.sources))
-    near = edges.nearest_neighbors(rows.select(F.col("source").alias("scope"), F.col("thread_id").alias("id"), "vec"), k, floor)
-    per = edges.canonical(near, "scope").withColumnRenamed("scope", "source")
-    fused = scratch.save(edges.fuse(per, floor, Fusion(config.fusion)), f"{config.name}-edges")
-    comp = clustering.connected_components(rows.select(F.col("thread_id").alias("id")).distinct(), fused, scratch)
-    if config.mode != "basic":
-        comp = clustering.resize(scratch.save(comp, f"{config.name}-components"), fused, config.mode, config.most, config.step)
-    return scratch.save(comp, f"{config.name}-clusters"), fused
+def source_edges(vectors: DataFrame, k: int, floor: float = CLUSTER_MIN_SCORE) -> DataFrame:
+    """``(source, left_id, right_id, score)``: exact neighbours inside each source of ``(source, thread_id, vec)``, whatever configuration reads them."""
+    near = edges.nearest_neighbors(vectors.select(F.col("source").alias("scope"), F.col("thread_id").alias("id"), "vec"), k, floor)
+    return edges.canonical(near, "scope").withColumnRenamed("scope", "source")
+
+
+def joined(rows: DataFrame, per: DataFrame, config: Config, scratch: Scratch, floor: float = CLUSTER_MIN_SCORE) -> tuple[DataFrame, DataFrame]:
+    """(components, edges) of the ``(source, thread_id)`` and the source edges by a configuration's sources and fusion, before any are taken apart."""
+    mine = F.col("source").isin(*config.sources)
+    fused = scratch.save(edges.fuse(per.where(mine), floor, Fusion(config.fusion)), f"{config.name}-edges")
+    nodes = rows.where(mine).select(F.col("thread_id").alias("id")).distinct()
+    return scratch.save(clustering.connected_components(nodes, fused, scratch), f"{config.name}-components"), fused
 
 
 def matrix(vectors: DataFrame, scratch: Scratch, configs: tuple[Config, ...] = CONFIGS, k: int = 6, floor: float = CLUSTER_MIN_SCORE) -> DataFrame:
-    """One row a configuration: ``name, mode, fusion, n_edges`` and the measures of its clusters."""
+    """One row a configuration: ``name, mode, fusion, n_edges`` and the measures of its clusters.
+
+    The neighbours of a source are searched once for all configurations, and those with the same sources and fusion have their edges and components in common.
+    """
     vectors = scratch.save(vectors, "vectors")
+    per, rows = scratch.save(source_edges(vectors, k, floor), "source-edges"), vectors.select("source", "thread_id")
+    made: dict[tuple, tuple[DataFrame, DataFrame]] = {}
     out = None
     for c in configs:
-        comp, fused = clustered(vectors, c, scratch, k, floor)
+        key = (c.sources, c.fusion)
+        if key not in made:
+            made[key] = joined(rows, per, c, scratch, floor)
+        comp, fused = made[key]
+        if c.mode != "basic":
+            comp = scratch.save(clustering.resize(comp, fused, c.mode, c.most, c.step), f"{c.name}-clusters")
         row = clustering.quality(comp).join(F.broadcast(fused.agg(F.count("*").alias("n_edges"))))
         row = row.select(F.lit(c.name).alias("name"), F.lit(c.mode).alias("mode"), F.lit(c.fusion).alias("fusion"), "*")
         out = row if out is None else out.unionByName(row)
