@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import re
 
@@ -360,6 +361,27 @@ def test_passages_of_hot_spans_cover_all_documents(spark, monkeypatch, tmp_path)
     assert {i for r in rows for i in (r.left_id, r.right_id) if r.matched_chars >= 150} == set(range(3, 9))
 
 
+@pytest.mark.parametrize("hot", [24, 2])
+def test_passages_of_hot_seeds_between_all_documents(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    rng = random.Random(16)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base, first, second, tail = make(160), make(100), make(100), make(90)
+    docs = [(i, make(5 + i) + base) for i in range(1, 7)]  # every two have the whole span
+    docs += [(i, make(9 + i) + first + "#" * i + tail) for i in (11, 12)] + [(i, make(7 + i) + first + make(30)) for i in (10, 13, 14)]  # a hot seed, and one that is not
+    docs += [(i, make(9 + i) + first + "$" * (i - 20) + second) for i in (21, 22, 23)]  # two hot seeds
+    docs += [(i, make(4) + "ab" * (200 + i) + make(40)) for i in (31, 32, 33)]  # repeats inside a document
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = queries.p9_passages(spark, str(tmp_path)).collect()
+    pairs = {(r.left_id, r.right_id) for r in rows}
+    whole = lambda ids: set(itertools.combinations(ids, 2))
+    assert pairs == whole(range(1, 7)) | {(11, 12)} | whole((21, 22, 23)) | whole((31, 32, 33))
+    assert max(r.matched_chars for r in rows if (r.left_id, r.right_id) == (32, 33)) >= 464
+    monkeypatch.setattr(spans, "HOT", 10**9)  # every pair of occurrences
+    plain = queries.p9_passages(spark, str(tmp_path)).drop("class_id").collect()
+    assert sorted(r[:-1] for r in rows) == sorted(tuple(r) for r in plain)
+
+
 def test_passages_tell_copies_and_classes(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(spans, "HOT", 2)
     rng = random.Random(14)

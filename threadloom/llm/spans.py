@@ -8,10 +8,12 @@ documents, whatever their size, are chained with gap costs through a Fenwick tre
 chain is aligned inside a band. ``passages`` are the chains with enough matched characters; ``shared_amounts`` counts the exact
 spans of the chains that have one of ``length``.
 
-Hot seeds, with more than ``HOT`` occurrences, are not paired with each other. Each of their occurrences is described by all
-spans of ``length`` characters that cover the seed; of the occurrences of one such span each is matched with the span's
+Hot seeds, with more than ``HOT`` occurrences, are not all paired with each other. For ``shared_amounts`` each of their occurrences is
+described by all spans of ``length`` characters that cover the seed; of the occurrences of one such span each is matched with the span's
 first document (and that one with its last), which covers the same characters of every document with a linear number of
-matches. Equal texts are one class: they share their whole length, and one member stands for the class towards others.
+matches. For ``passages`` every pair of documents that may have a passage is found first, and has the matches of all hot seeds that both have:
+a match that ends inside its contexts on both sides is shorter than a passage, so such a pair has another match, by a seed
+that is not hot, by a seed whose characters up to the end of a context are the same, or by a second hot seed within ``MAX_GAP``. Equal texts are one class: they share their whole length, and one member stands for the class towards others.
 
 Defined results: null texts and texts shorter than ``length`` share nothing; rows with a null id are left out; rows
 that repeat a document id are one document, and what occurs only inside one document is not shared.
@@ -291,6 +293,113 @@ def _hot_matches(hot: DataFrame, length: int, seed: int) -> DataFrame:
     ).distinct()
 
 
+def _hot_partners(occurrences: DataFrame, length: int, seed: int) -> DataFrame:
+    """``(a, b)``: documents with a hot seed whose context is the same up to its end, or with two hot seeds that can be in one chain."""
+    reach = length - seed
+    whole = lambda side: F.when(F.length(side) == reach, F.xxhash64(F.lit(side), "h", side))
+    open_ = occurrences.select("doc", F.explode(F.array(whole("before"), whole("after"))).alias("k"), F.lit(0).alias("gap")).where("k is not null")
+    x, y = (occurrences.select("doc", F.col("h").alias(f"h{i}"), F.col("pos").alias(f"p{i}")) for i in (1, 2))
+    gap = F.col("p2") - F.col("p1")
+    two = x.join(y, "doc").where((gap > 0) & (gap <= MAX_GAP + seed + 2 * reach)).select("doc", F.xxhash64(F.lit("two"), "h1", "h2").alias("k"), gap.alias("gap"))
+    keys = open_.unionByName(two).groupBy("k", "doc").agg(F.min("gap").alias("lo"), F.max("gap").alias("hi"))
+    left, right = (keys.select("k", F.col("doc").alias(d), F.col("lo").alias(f"lo_{d}"), F.col("hi").alias(f"hi_{d}")) for d in "ab")
+    # seeds that touch and are equally far apart on both sides are one span
+    one = (F.col("hi_a") > 0) & (F.greatest("hi_a", "hi_b") == F.least("lo_a", "lo_b")) & (F.col("hi_a") <= seed)
+    return left.join(right, "k").where((F.col("a") < F.col("b")) & ~one).select("a", "b")
+
+
+def _stretches(pos: np.ndarray, after: list[str], seed: int, length: int) -> list[tuple[tuple | None, np.ndarray]]:
+    """(key, places) of the occurrences of one seed in a text: those that follow each other at one distance, with the same characters
+    between, by distance and characters; all others together, with no key."""
+    n = len(pos)
+    step = np.diff(pos)
+    keys = [(d, after[i][: max(0, d - seed)]) if d <= length else None for i, d in enumerate(step.tolist())]
+    found, rest, i = [], [], 0
+    while i < n:
+        j = i
+        while j < n - 1 and keys[j] is not None and keys[j] == keys[i]:
+            j += 1
+        if j > i:
+            found.append((keys[i], np.arange(i, j + 1)))
+        else:
+            rest.append(i)
+        i = j + 1
+    return [*found, (None, np.array(rest, np.int64))] if rest else found
+
+
+#: Occurrences of a seed in two documents, multiplied, above which those that repeat at one distance are matched diagonal by diagonal.
+CROSS = 1024
+
+
+def _crossed(pos_a: np.ndarray, after_a: list[str], pos_b: np.ndarray, after_b: list[str], seed: int, length: int) -> tuple[np.ndarray, ...]:
+    """(first_a, first_b, last_a, last_b): places of the occurrences of a seed in two texts that match; from the first to the last one
+    the texts are equal, so every pair of places is in one of the rows."""
+    if len(pos_a) * len(pos_b) <= CROSS:
+        i, j = (v.ravel() for v in np.meshgrid(np.arange(len(pos_a)), np.arange(len(pos_b)), indexing="ij"))
+        return i, j, i, j
+    out = []
+    parts = _stretches(pos_b, after_b, seed, length)
+    for key, x in _stretches(pos_a, after_a, seed, length):
+        for other, y in parts:
+            if key is not None and key == other:
+                shift = np.arange(1 - len(y), len(x))
+                i, j = np.maximum(shift, 0), np.maximum(-shift, 0)
+                n = np.minimum(len(x) - i, len(y) - j) - 1
+                out.append((x[i], y[j], x[i + n], y[j + n]))
+            else:
+                i, j = (v.ravel() for v in np.meshgrid(x, y, indexing="ij"))
+                out.append((i, j, i, j))
+    return tuple(np.concatenate([o[c] for o in out]) for c in range(4))
+
+
+def _hot_rows(length: int, seed: int):
+    """Matches of a hot seed in two documents, from all its occurrences in either: (a, b, pos_a, pos_b, before, after)."""
+    reach = length - seed
+    kinds = (("a", pa.int64()), ("b", pa.int64()), ("pos_a", pa.int32()), ("pos_b", pa.int32()), ("before", pa.int32()), ("after", pa.int32()))
+    schema = pa.schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = []
+            for c in (2, 3):
+                hits = batch.column(c)
+                flat = hits.flatten()
+                before, after = (pc.struct_field(flat, f).to_pylist() for f in ("before", "after"))
+                ends = np.append(0, np.cumsum(np.asarray(hits.value_lengths())))
+                sides.append((np.asarray(pc.struct_field(flat, "pos")), before, after, ends))
+            (pa_, ba, aa, ea), (pb, bb, ab, eb) = sides
+            found, row = [], []
+            for r in range(batch.num_rows):
+                x, y = slice(ea[r], ea[r + 1]), slice(eb[r], eb[r + 1])
+                at = _crossed(pa_[x], aa[x], pb[y], ab[y], seed, length)
+                found.append((at[0] + ea[r], at[1] + eb[r], at[2] + ea[r], at[3] + eb[r]))
+                row.append(np.full(len(at[0]), r))
+            i, j, p, q = (np.concatenate([f[c] for f in found]) for c in range(4))
+            row = np.concatenate(row)
+            a, b = np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row]
+            # the contexts of each occurrence are laid out once, however many it meets
+            la, lb, ra, rb = _padded(ba, reach, False), _padded(bb, reach, False), _padded(aa, reach, True), _padded(ab, reach, True)
+            for s in range(0, len(i), 20_000):
+                e = slice(s, s + 20_000)
+                after = pa_[p[e]] - pa_[i[e]] + _equal_run(ra[p[e]], rb[q[e]])
+                cols = (a[e], b[e], pa_[i[e]], pb[j[e]], _equal_run(la[i[e]], lb[j[e]]), after)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(cols, kinds)], schema=schema)
+
+    return run
+
+
+def _hot_pairs(hot: DataFrame, cold: DataFrame, length: int, seed: int, scratch: Scratch) -> DataFrame:
+    """Matches of hot seeds between all documents that may have a passage in common; ``cold`` are the matches of the other seeds."""
+    hot = scratch.save(hot, f"occurrences-{length}")
+    pairs = scratch.save(_hot_partners(hot, length, seed).unionByName(cold.select("a", "b")).distinct(), f"partners-{length}")
+    hits = scratch.save(hot.groupBy("h", "doc").agg(F.sort_array(F.collect_list(F.struct("pos", "before", "after"))).alias("hits")), f"hits-{length}")  # bounded by the document
+    left, right = (hits.select("h", F.col("doc").alias(d), F.col("hits").alias(f"hits_{d}")) for d in "ab")
+    both = pairs.join(left, "a").join(right, ["h", "b"]).select("a", "b", "hits_a", "hits_b")
+    return both.mapInArrow(_hot_rows(length, seed), "a long, b long, pos_a int, pos_b int, before int, after int")
+
+
 class Fenwick:
     """Greatest value over a prefix, with its place; values only grow."""
 
@@ -452,8 +561,9 @@ def text_classes(docs: DataFrame, ident: str, text: str, length: int) -> DataFra
     )
 
 
-def _matches(docs: DataFrame, ident: str, text: str, length: int, scratch: Scratch, seed: int) -> DataFrame:
-    """``(a, b, pos_a, pos_b, before, after)``: seeds that two documents share, and how far the texts agree around them."""
+def _matches(docs: DataFrame, ident: str, text: str, length: int, scratch: Scratch, seed: int, every: bool = False) -> DataFrame:
+    """``(a, b, pos_a, pos_b, before, after)``: seeds that two documents share, and how far the texts agree around them; of hot seeds
+    those that cover the shared characters of each document, or with ``every`` those of each two documents that may have a passage."""
     if length - seed + 1 > seed:
         raise ValueError("the seed must be at least half the length")
     long = docs.where(F.col(ident).isNotNull() & (F.length(F.col(text)) >= length)).select(F.col(ident).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("kind"), F.col(text).alias("text"))
@@ -468,7 +578,10 @@ def _matches(docs: DataFrame, ident: str, text: str, length: int, scratch: Scrat
     some_hot = not hot.isEmpty()
     cold = found.join(hot, "h", "left_anti") if some_hot else found
     matches = cold.repartition("h").sortWithinPartitions("h").mapInArrow(_pair_rows(length, seed), match)
-    if some_hot:
+    if some_hot and every:
+        matches = scratch.save(matches, f"cold-{length}")
+        matches = matches.unionByName(_hot_pairs(found.join(hot, "h"), matches, length, seed, scratch))
+    elif some_hot:
         matches = matches.unionByName(_hot_matches(found.join(hot, "h"), length, seed))
     return matches
 
@@ -511,18 +624,16 @@ def passages(docs: DataFrame, ident: str, text: str, length: int, scratch: Scrat
     """``(a, b, chain, start_a, end_a, start_b, end_b, n_spans, matched, identity, class_id)``: chains with at least ``length`` matched characters.
 
     A chain is made of exact spans of two thirds of ``length`` or more, so a passage may have an edit that often; what is
-    between them is aligned. ``identity`` is the share of matched characters in the longer side. The matches of whole spans of ``length``
-    are added, as a hot seed's first document may have less of a span than others share.
+    between them is aligned. ``identity`` is the share of matched characters in the longer side. Each two texts that have such a chain have its
+    row, however many others have the same characters.
 
     Each further document of a text has one row, over its whole length, with the text's first document, which stands for it
     in the other rows. Rows of one ``class_id`` are the same or overlapping passages: stretches of a document that have
-    ``length`` characters in common are one, and rows link stretches. So the documents of a hot span, which are paired only
-    with its first or last one, are found together by their class.
+    ``length`` characters in common are one, and rows link stretches.
     """
     least = max(1, (2 * length) // 3)
-    seed, wide = max(1, (2 * least) // 3), max(1, (2 * length) // 3)
-    long = _matches(docs, ident, text, length, scratch, wide).withColumn("after", (F.col("after") + F.lit(wide - seed)).cast("int"))
-    matches = _matches(docs, ident, text, least, scratch, seed).unionByName(long)
+    seed = max(1, (2 * least) // 3)
+    matches = _matches(docs, ident, text, least, scratch, seed, every=True)
     chains = _aligned_chains(matches, docs, ident, text, least, seed, length, 0, scratch)
     chains = chains.select("a", "b", "chain", "start_a", "end_a", "start_b", "end_b", F.size("spans").cast("long").alias("n_spans"), "matched")
     classes = text_classes(docs, ident, text, length).distinct()
