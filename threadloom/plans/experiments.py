@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,9 @@ CONFIGS = (
     Config("all-refined", _SOURCES, "max", "refined"),
 )
 
+#: Configurations that are worked on at once, as a large group is one task.
+AT_ONCE = 3
+
 
 def source_edges(vectors: DataFrame, k: int, floor: float = CLUSTER_MIN_SCORE) -> DataFrame:
     """``(source, left_id, right_id, score)``: exact neighbours inside each source of ``(source, thread_id, vec)``, whatever configuration reads them."""
@@ -52,18 +57,23 @@ def matrix(vectors: DataFrame, scratch: Scratch, configs: tuple[Config, ...] = C
     """One row a configuration: ``name, mode, fusion, n_edges`` and the measures of its clusters.
 
     The neighbours of a source are searched once for all configurations, and those with the same sources and fusion have their edges and components in common.
+    Names of configurations differ.
     """
     vectors = scratch.save(vectors, "vectors")
     per, rows = scratch.save(source_edges(vectors, k, floor), "source-edges"), vectors.select("source", "thread_id")
-    made: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+    shared = {(c.sources, c.fusion): c for c in reversed(configs)}
+    work = inheritable_thread_target(vectors.sparkSession)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        made = dict(zip(shared, pool.map(work(lambda c: joined(rows, per, c, scratch, floor)), shared.values())))
+
+        def taken_apart(c: Config) -> DataFrame:
+            comp, fused = made[c.sources, c.fusion]
+            return comp if c.mode == "basic" else scratch.save(clustering.resize(comp, fused, c.mode, c.most, c.step), f"{c.name}-clusters")
+
+        clusters = list(pool.map(work(taken_apart), configs))
     out = None
-    for c in configs:
-        key = (c.sources, c.fusion)
-        if key not in made:
-            made[key] = joined(rows, per, c, scratch, floor)
-        comp, fused = made[key]
-        if c.mode != "basic":
-            comp = scratch.save(clustering.resize(comp, fused, c.mode, c.most, c.step), f"{c.name}-clusters")
+    for c, comp in zip(configs, clusters):
+        fused = made[c.sources, c.fusion][1]
         row = clustering.quality(comp).join(F.broadcast(fused.agg(F.count("*").alias("n_edges"))))
         row = row.select(F.lit(c.name).alias("name"), F.lit(c.mode).alias("mode"), F.lit(c.fusion).alias("fusion"), "*")
         out = row if out is None else out.unionByName(row)
