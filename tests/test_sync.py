@@ -120,6 +120,20 @@ def test_large_graphs_go_through_the_rounds(spark, monkeypatch):
     assert all(got[i] == 1 for i in range(1, 41)) and got[41] == 41 and all(got[i] == 100 for i in range(100, 140))
 
 
+def test_graphs_share_a_folder_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "LOCAL", 5)
+    scratch, kind = Scratch(spark), "left_id long, right_id long"
+    nodes = spark.range(1, 42)
+    made = [clustering.connected_components(nodes, spark.createDataFrame([(i, i + 1) for i in range(first, 41, 2)], kind), scratch) for first in (1, 2)]
+    for first, comp in zip((1, 2), made):  # the first is read after the other's rounds
+        assert {tuple(r) for r in comp.collect()} == {(i, i - (i > first and (i - first) % 2)) for i in range(1, 42)}
+    x = np.random.default_rng(9).normal(size=(60, 4))
+    vecs = spark.createDataFrame([(s, i, r.tolist()) for s in ("title", "body") for i, r in enumerate(x)], "source string, thread_id long, vec array<double>")
+    configs = [experiments.Config(f"{f}{n}", s, f, "basic") for n, s in enumerate((("title",), ("title", "body"))) for f in ("max", "mean", "boost")]
+    found = experiments.matrix(vecs, Scratch(spark), (*configs, experiments.Config("min-of-2", ("title", "body"), "min-of-2", "basic")), 2, 0.0).collect()
+    assert len(found) == 7 and len({tuple(r)[3:] for r in found}) == 1  # the sources are equal, so all fusions have the same edges
+
+
 def test_order_and_numbers(spark):
     comp = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)], "id long, component long")
     nodes = spark.createDataFrame([(1, 50), (2, 40), (3, 1), (4, 30), (5, 60)], "id long, number long")

@@ -69,9 +69,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -
     Each partition first joins its own edges, which leaves one edge a vertex. If what is left fits a task, that is
     all; else alternating large-star and small-star rounds follow: every round is an aggregation and a join on the edge list, so a hub's
     links are never gathered, and the number of rounds grows with the logarithm of the graph. ``edges``: ``(left_id, right_id)``.
+    Graphs may share ``scratch``, also at the same time: each call's tables have names of their own.
     """
+    name = f"star-{uuid.uuid4().hex[:8]}"
     ends = edges.where("left_id <> right_id").select(F.greatest("left_id", "right_id").cast("long").alias("u"), F.least("left_id", "right_id").cast("long").alias("v"))
-    now, left = scratch.counted(ends.mapInArrow(_local, "u long, v long"), f"star-{uuid.uuid4().hex[:8]}")
+    now, left = scratch.counted(ends.mapInArrow(_local, "u long, v long"), f"{name}-0")
     if left <= LOCAL:
         now = now.coalesce(1).mapInArrow(_local, "u long, v long")
     else:
@@ -84,9 +86,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
             step += 1
-            now = scratch.save(small.where("u <> v").distinct(), f"star-{step}")
+            now = scratch.save(small.where("u <> v").distinct(), f"{name}-{step}")
             if step > 1:
-                scratch.drop(f"star-{step - 2}")
+                scratch.drop(f"{name}-{step - 2}")
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
