@@ -134,6 +134,23 @@ def test_graphs_share_a_folder_in_rounds(spark, monkeypatch):
     assert len(found) == 7 and len({tuple(r)[3:] for r in found}) == 1  # the sources are equal, so all fusions have the same edges
 
 
+def test_large_groups_come_in_batches(spark):
+    rng = np.random.default_rng(11)
+    links = {(int(a), int(b)): round(float(rng.random()), 3) for a, b in np.sort(rng.integers(0, 80, (300, 2)), axis=1)} | {(i, i + 1): 0.5 for i in range(79)}  # some from a node to itself
+    eg = spark.createDataFrame([(a, b, v) for (a, b), v in links.items()], "left_id long, right_id long, score double").repartition(3)
+    comp = spark.createDataFrame([(i, 0) for i in range(80)] + [(90, 90)], "id long, component long")
+    real = [(v, a, b) for (a, b), v in links.items() if a != b]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for mode, want in (("bounded", clustering.bounded(list(range(80)), real, 7)), ("refined", clustering.refined(list(range(80)), real, 7, 0.1))):
+            found = clustering.resize(comp, eg, mode, 7, 0.1)
+            assert {r.id: r.component for r in found.collect()} == want | {90: 90}
+            assert "FlatMapCoGroupsInArrow" not in found._jdf.queryExecution().toString()  # which holds a group and its arrays at once
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_order_and_numbers(spark):
     comp = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)], "id long, component long")
     nodes = spark.createDataFrame([(1, 50), (2, 40), (3, 1), (4, 30), (5, 60)], "id long, number long")
